@@ -19,8 +19,15 @@ def to_double(value: Column | str) -> Column:
 
 
 def to_timestamp(value: Column | str, fmt: str | None = None) -> Column:
-    """Parse a UTC timestamp; text that is not a time becomes null."""
-    return F.try_to_timestamp(_c(value), F.lit(fmt)) if fmt else F.try_to_timestamp(_c(value))
+    """Parse a UTC timestamp; text that is not a time becomes null.
+
+    ``2024-06-01T00:00Z`` lacks the seconds that a zone suffix requires, so
+    they are filled in first.
+    """
+    if fmt:
+        return F.try_to_timestamp(_c(value), F.lit(fmt))
+    zoned = r"^(.*[T ][0-9]{2}:[0-9]{2})(Z|[+-][0-9]{2}:?[0-9]{2})$"
+    return F.try_to_timestamp(F.regexp_replace(_c(value), zoned, "$1:00$2"))
 
 
 def epoch_to_timestamp(seconds: Column | str) -> Column:

@@ -110,7 +110,7 @@ TABLE_SCHEMA = (
 )
 
 
-def usable_rows(df: DataFrame, model: Model, keep: Sequence[str] = ()) -> DataFrame:
+def usable_rows(df: DataFrame, model: Model, keep: Sequence[str | Column] = ()) -> DataFrame:
     """Listwise deletion, then only the columns the model needs as doubles."""
     columns = model.source_columns
     complete = df.dropna(subset=columns)
@@ -137,14 +137,14 @@ def _factor_names(model: Model) -> list[str]:
 def cell_moments(rows: DataFrame, model: Model, keys: Sequence[str] = ()) -> DataFrame:
     """(keys, factor levels, _n, sums, cross sums) of numeric terms and outcome."""
     z = [*_numeric_names(model), "_y"]
-    sums = [F.sum(a).alias(f"_s{i}") for i, a in enumerate(z)]
+    sums = [F.expr(f"sum({a}) AS _s{i}") for i, a in enumerate(z)]
     cross = [
-        F.sum(F.col(z[i]) * F.col(z[j])).alias(f"_q{i}_{j}")
+        F.expr(f"sum({z[i]} * {z[j]}) AS _q{i}_{j}")
         for i in range(len(z))
         for j in range(i, len(z))
     ]
     return rows.groupBy(*keys, *_factor_names(model)).agg(
-        F.count(F.lit(1)).alias("_n"), *sums, *cross
+        F.expr("count(1) AS _n"), *sums, *cross
     )
 
 
@@ -274,7 +274,7 @@ def solve(gram: np.ndarray, model: Model, levels: dict[str, list]) -> Fit:
     return Fit(model, term_names(model, levels), levels, beta, bread, n, rank, max(sse, 0.0), sst)
 
 
-def fit_ols(df: DataFrame, model: Model, keep: Sequence[str] = ()) -> tuple[Fit, DataFrame]:
+def fit_ols(df: DataFrame, model: Model, keep: Sequence[str | Column] = ()) -> tuple[Fit, DataFrame]:
     """Estimates, and the used rows for a second pass."""
     rows = usable_rows(df, model, keep)
     cells = materialize(cell_moments(rows, model), "cells")
@@ -286,40 +286,44 @@ def fit_ols(df: DataFrame, model: Model, keep: Sequence[str] = ()) -> tuple[Fit,
 
 
 def with_residual(rows: DataFrame, fit: Fit) -> DataFrame:
-    """Adds ``_e``; factor effects are joined from one row per level.
+    """Adds ``_e`` and a level number ``_l<i>`` per factor.
 
-    The effect tables hold at most ``MAX_TERMS`` rows, checked when the levels
-    were listed, so they are broadcast.
+    Factor effects are joined from one row per level. These tables hold at
+    most ``MAX_TERMS`` rows, checked when the levels were listed, so they are
+    broadcast.
     """
     model = fit.model
     beta = dict(zip(fit.terms, fit.beta.tolist()))
-    fitted: Column = F.lit(beta["Intercept"])
+    fitted = [repr(beta["Intercept"]) + "D"]
     for name, term in zip(_numeric_names(model), model.numeric):
-        fitted = fitted + F.col(name) * F.lit(beta[term])
+        fitted.append(f"{name} * {beta[term]!r}D")
     out = rows
-    for name, factor in zip(_factor_names(model), model.factors):
+    for i, (name, factor) in enumerate(zip(_factor_names(model), model.factors)):
         kind = rows.schema[name].dataType.simpleString()
         effects = rows.sparkSession.createDataFrame(
-            [(v, beta.get(f"C({factor})[T.{v}]", 0.0)) for v in fit.levels[factor]],
-            f"{name} {kind}, _effect{name} double",
+            [
+                (v, n, beta.get(f"C({factor})[T.{v}]", 0.0))
+                for n, v in enumerate(fit.levels[factor])
+            ],
+            f"{name} {kind}, _l{i} int, _effect{i} double",
         )
         out = out.join(F.broadcast(effects), name)
-        fitted = fitted + F.col(f"_effect{name}")
-    out = out.withColumn("_e", F.col("_y") - fitted)
-    return out.drop(*[f"_effect{n}" for n in _factor_names(model)])
+        fitted.append(f"_effect{i}")
+    out = out.withColumn("_e", F.expr(f"_y - ({' + '.join(fitted)})"))
+    return out.drop(*[f"_effect{i}" for i in range(len(model.factors))])
 
 
 def _score_sums(fit: Fit) -> list[Column]:
     """Sum of x*e per term, as aggregates in term order."""
     model = fit.model
-    sums = [F.sum("_e")]
-    for name, factor in zip(_factor_names(model), model.factors):
+    sums = ["_e"]
+    for i, factor in enumerate(model.factors):
         sums += [
-            F.sum(F.when(F.col(name) == F.lit(v), F.col("_e")).otherwise(0.0))
-            for v in fit.levels[factor][1:]
+            f"CASE WHEN _l{i} = {n} THEN _e ELSE 0D END"
+            for n in range(1, len(fit.levels[factor]))
         ]
-    sums += [F.sum(F.col(x) * F.col("_e")) for x in _numeric_names(model)]
-    return [s.alias(f"s{i}") for i, s in enumerate(sums)]
+    sums += [f"{x} * _e" for x in _numeric_names(model)]
+    return [F.expr(f"sum({s}) AS s{i}") for i, s in enumerate(sums)]
 
 
 def _meat(scores: DataFrame, size: int) -> dict[str, tuple[np.ndarray, int]]:
@@ -377,27 +381,18 @@ def fit_cluster(df: DataFrame, model: Model, cluster: str, correction: bool = Tr
 def fit_two_way_cluster(df: DataFrame, model: Model, first: str, second: str) -> Fit:
     """Two-way clustered errors, t inference on the smaller cluster count.
 
-    Scores are summed once per (first, second) pair; both one-way sums are
-    rolled up from those, so the rows are scanned and shuffled once.
+    The sums per first, per second and per pair of clusters come from one
+    aggregation over grouping sets, with one scan and one shuffle of sums.
     """
     known = df.where(F.col(first).isNotNull() & F.col(second).isNotNull())
-    fit, rows = fit_ols(known, model, list(dict.fromkeys([first, second])))
+    keys = [F.col(first).alias("_a"), F.col(second).alias("_b")]
+    fit, rows = fit_ols(known, model, keys)
     size = len(fit.terms)
-    pairs = (
-        with_residual(rows, fit)
-        .groupBy(F.col(first).alias("_a"), F.col(second).alias("_b"))
-        .agg(*_score_sums(fit))
-    )
-    columns = [f"s{i}" for i in range(size)]
-
-    def rolled(key: str, kind: str) -> DataFrame:
-        sums = [F.sum(c).alias(c) for c in columns]
-        return pairs.groupBy(key).agg(*sums).select(*columns, F.lit(kind).alias("kind"))
-
+    sets = [["_a", "_b"], ["_a"], ["_b"]]
+    # grouping_id has a bit for each key that is left out
+    kind = F.expr("CASE grouping_id() WHEN 0 THEN 'ab' WHEN 1 THEN 'a' ELSE 'b' END AS kind")
     scores = (
-        pairs.select(*columns, F.lit("ab").alias("kind"))
-        .unionByName(rolled("_a", "a"))
-        .unionByName(rolled("_b", "b"))
+        with_residual(rows, fit).groupingSets(sets, "_a", "_b").agg(kind, *_score_sums(fit))
     )
     parts = _meat(scores, size)
     covariance = np.zeros((size, size))

@@ -13,6 +13,7 @@ from panelspark.plans import fixtures as X
 from panelspark.plans import marts
 from panelspark.plans.registered.scans import overall_sql
 from panelspark.plans.registered.spec import query
+from panelspark.session import materialize
 from panelspark.sources import files
 
 SHARE = "actual_renewable_share_of_load"
@@ -32,6 +33,11 @@ def matched(spark, sf_dir):
     return X.impact_panel(spark, sf_dir).where("market_match_flag")
 
 
+def matched_table(spark, sf_dir):
+    """The matched rows written once, for operators that read them twice."""
+    return materialize(matched(spark, sf_dir), "matched")
+
+
 def matched_with_bins(spark, sf_dir):
     return marts.add_horizon_bins(matched(spark, sf_dir))
 
@@ -145,7 +151,7 @@ _outcome(
     ["mean_price", "price_volatility", "negative_price_rate", "mean_temperature_error",
      "mean_wind_error", "mean_radiation_error"],
     _GLOBAL_REGIME,
-    lambda spark, sf_dir: regime_global(matched(spark, sf_dir), SHARE),
+    lambda spark, sf_dir: regime_global(matched_table(spark, sf_dir), SHARE),
 )
 _outcome(
     "vintage_coverage",
@@ -163,7 +169,9 @@ _outcome(
     "horizon_bin_start_hours i, high_renewable_regime i",
     ["mean_price", "negative_price_rate", "mean_temperature_error", "mean_radiation_error"],
     _GLOBAL_REGIME,
-    lambda spark, sf_dir: regime_global(matched_with_bins(spark, sf_dir), SHARE),
+    lambda spark, sf_dir: marts.add_horizon_bins(
+        regime_global(matched_table(spark, sf_dir), SHARE)
+    ),
 )
 _outcome(
     "zone_coverage",
@@ -180,7 +188,7 @@ _outcome(
     "bzn s, high_renewable_regime i",
     ["mean_price", "negative_price_rate", "mean_temperature_error", "mean_radiation_error"],
     _ZONE_REGIME,
-    lambda spark, sf_dir: regime_within_group(matched(spark, sf_dir), ["bzn"], SHARE),
+    lambda spark, sf_dir: regime_within_group(matched_table(spark, sf_dir), ["bzn"], SHARE),
 )
 
 

@@ -128,7 +128,7 @@ def lake_inputs(spark, sf_dir):
 
 @query(
     "lake_registry",
-    "layer s, dataset s, artifact_path s, report_layer s, rows i, match_rate d, status s, failed_checks l, "
+    "layer s, dataset s, artifact_path s, report_layer s, rows d0, match_rate d, status s, failed_checks l, "
     "check_count i, passed_check_count i, lineage_bronze_batch s, lineage_weather_batch s",
     """SELECT 'bronze' AS layer, 'energy_charts' AS dataset,
          'bronze/energy_charts/ingestion_date=20240201/batch_id=20240201T000000Z' AS artifact_path,

@@ -175,7 +175,7 @@ def forecast_horizon(spark, sf_dir):
 
 @query(
     "horizon_bins",
-    "event_id i, horizon d, bin_start i, bin_label s",
+    "event_id i, horizon d, bin_start d0, bin_label s",
     """SELECT event_id, horizon, CAST(floor(horizon / 24) * 24 AS BIGINT) AS bin_start,
          CASE WHEN horizon IS NULL THEN 'unknown' ELSE
            concat(CAST(floor(horizon / 24) * 24 AS BIGINT), '-', CAST(floor(horizon / 24) * 24 + 23 AS BIGINT), 'h')

@@ -424,7 +424,7 @@ def path_keys(spark, sf_dir):
 
 @query(
     "tolerant_json",
-    "event_id i, k i",
+    "event_id i, k d0",
     """SELECT event_id, CASE WHEN event_id % 5 = 0 THEN NULL
          ELSE CAST(json_extract(props, '$.k') AS BIGINT) END AS k FROM events""",
 )

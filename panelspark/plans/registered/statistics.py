@@ -53,7 +53,7 @@ def _terms(first: str, second: str, v1: str, v2: str) -> str:
       FROM m, v UNION ALL SELECT '{second}', b2, sqrt({v2}), b2 / sqrt({v2}) FROM m, v"""
 
 
-_COEFFICIENTS = "term s, coefficient d, std_error d, t_value d"
+_COEFFICIENTS = "term s, coefficient d3, std_error d3, t_value d4"
 
 
 def _numeric_terms(spark, fit):
@@ -70,7 +70,7 @@ _ALL_TERMS_SQL = within_sql(
 )
 
 
-@query("ols_fixed_effects", "term s, coefficient d4", _ALL_TERMS_SQL, "sample")
+@query("ols_fixed_effects", "term s, coefficient d3", _ALL_TERMS_SQL, "sample")
 def ols_fixed_effects(spark, sf_dir):
     fit, _ = fit_ols(X.regression_sample(spark, sf_dir), PRICE_MODEL)
     rows = list(zip(fit.terms, fit.beta.tolist()))
@@ -232,8 +232,8 @@ def _bootstrap(spark, sf_dir, exact):
 
 @query(
     "wild_cluster_bootstrap",
-    "target s, coefficient d, cluster_se_uncorrected d, observed_t d, wild_bootstrap_p_value d, "
-    "bootstrap_t_2_5pct d, bootstrap_t_97_5pct d, observations i, clusters i, repetitions i",
+    "target s, coefficient d4, cluster_se_uncorrected d4, observed_t d5, wild_bootstrap_p_value d, "
+    "bootstrap_t_2_5pct d5, bootstrap_t_97_5pct d5, observations i, clusters i, repetitions i",
     _BOOTSTRAP_SQL,
     "sample",
 )

@@ -5,7 +5,7 @@ from __future__ import annotations
 from panelspark import constants as K
 from panelspark.operators import windows as W
 from panelspark.plans import fixtures as X
-from panelspark.plans.registered.aggregates import SHARE, matched
+from panelspark.plans.registered.aggregates import SHARE, matched_table
 from panelspark.plans.registered.spec import query
 
 _Z = K.IMPACT_PREDICTORS
@@ -72,7 +72,7 @@ _KEYS = "bzn s, forecast_run_utc t, valid_time_utc t"
     "matched",
 )
 def zscore_within_group(spark, sf_dir):
-    return W.zscore_within_group(matched(spark, sf_dir), ["bzn"], _Z)
+    return W.zscore_within_group(matched_table(spark, sf_dir), ["bzn"], _Z)
 
 
 @query(
@@ -88,7 +88,7 @@ def zscore_within_group(spark, sf_dir):
     "matched",
 )
 def zscore_global(spark, sf_dir):
-    return W.zscore_global(matched(spark, sf_dir), _Z)
+    return W.zscore_global(matched_table(spark, sf_dir), _Z)
 
 
 @query(
@@ -100,7 +100,7 @@ def zscore_global(spark, sf_dir):
     "matched",
 )
 def regime_within_group(spark, sf_dir):
-    return W.regime_within_group(matched(spark, sf_dir), ["bzn"], SHARE)
+    return W.regime_within_group(matched_table(spark, sf_dir), ["bzn"], SHARE)
 
 
 @query(
@@ -111,4 +111,4 @@ def regime_within_group(spark, sf_dir):
     "matched",
 )
 def regime_global(spark, sf_dir):
-    return W.regime_global(matched(spark, sf_dir), SHARE)
+    return W.regime_global(matched_table(spark, sf_dir), SHARE)

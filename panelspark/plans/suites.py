@@ -90,9 +90,19 @@ def _impact_models(factors: tuple[str, ...], suffix: str, main_effect: bool) ->
 
 
 def _with_calendar(panel: DataFrame) -> DataFrame:
+    """Matched rows and the columns a suite reads, written once.
+
+    Medians, deviations and the design all read this table; without it the
+    mart would be computed for each of them.
+    """
     fields = calendar_fields("valid_time_utc")
-    return panel.where("market_match_flag").withColumns(
-        {name: fields[name] for name in ("hour_utc", "day_of_week", "valid_date")}
+    outcomes = ["price_day_ahead", "price_volatility_24h", "negative_price_flag"]
+    return materialize(
+        panel.where("market_match_flag").select(
+            "bzn", "valid_time_utc", "forecast_run_utc", SHARE, *outcomes, *IMPACT_PREDICTORS,
+            *[fields[name].alias(name) for name in ("hour_utc", "day_of_week", "valid_date")],
+        ),
+        "matched",
     )
 
 
