@@ -158,8 +158,15 @@ def price_coverage(panel: DataFrame, zone: str = "region") -> DataFrame:
     )
 
 
+# The seven conditions, in report order.
+CONDITIONS = ["all", "rain", "no_rain", "high_wind", "not_high_wind", "cold", "not_cold"]
+
+
 def condition_summary(panel: DataFrame) -> DataFrame:
-    """Price outcomes under seven overlapping weather conditions, in one pass."""
+    """Price outcomes under seven overlapping weather conditions, in one pass.
+
+    A condition that never holds keeps its row, with 0 rows.
+    """
     names = F.array_compact(
         F.array(
             F.lit("all"),
@@ -183,7 +190,9 @@ def condition_summary(panel: DataFrame) -> DataFrame:
         F.avg("renewable_share").alias("mean_renewable_share"),
     )
     medians = group_median(tagged, ["condition"], "price_day_ahead_eur_mwh", "median_price_eur_mwh")
-    return means.join(medians, "condition", "left")
+    names_frame = panel.sparkSession.createDataFrame([(c,) for c in CONDITIONS], "condition string")
+    joined = names_frame.join(means, "condition", "left").join(medians, "condition", "left")
+    return joined.fillna(0, ["rows"])
 
 
 def quantile_bin_curve(
@@ -346,14 +355,15 @@ def spearman_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
         (F.sum(F.col("c") * F.col("ry") * F.col("ry")) - n * mean * mean).alias("yy"),
     )
     rho = F.try_divide(F.col("xy"), F.sqrt(F.col("xx") * F.col("yy")))
-    names = F.array(*[F.lit(c) for c in columns])
     upper = sums.select("i", "j", "n", rho.alias("spearman"))
     lower = upper.where("i < j").select(
         F.col("j").alias("i"), F.col("i").alias("j"), "n", "spearman"
     )
-    return upper.unionByName(lower).select(
-        F.element_at(names, F.col("i") + 1).alias("column_x"),
-        F.element_at(names, F.col("j") + 1).alias("column_y"),
-        "n",
-        "spearman",
+    # pairs without a complete row still have their cell, with n = 0
+    size = range(len(columns))
+    grid = df.sparkSession.createDataFrame(
+        [(i, j, columns[i], columns[j]) for i in size for j in size],
+        "i int, j int, column_x string, column_y string",
     )
+    cells = grid.join(upper.unionByName(lower), ["i", "j"], "left")
+    return cells.select("column_x", "column_y", F.coalesce("n", F.lit(0)).alias("n"), "spearman")

@@ -423,7 +423,7 @@ def fit_hac(
         raise ValueError("a chunk must hold at least as many rows as there are lags")
     fit, rows = fit_ols(df, model, order)
     size = len(fit.terms)
-    placed = with_positions(with_residual(rows, fit), list(order))
+    placed = with_positions(with_residual(rows, fit), list(order), rows=fit.n)
     own = F.floor(F.col("_pos") / F.lit(chunk)).cast("bigint")
     tail = F.col("_pos") % chunk >= chunk - lags
     copies = placed.select(

@@ -221,6 +221,13 @@ def impact_panel(spark: SparkSession, sf_dir: str, check: bool = False) -> DataF
     )
 
 
+def zone_impact_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One zone against the weather errors averaged over all locations."""
+    return marts.forecast_impact(
+        market_observations(spark, sf_dir), forecast_errors(spark, sf_dir), "DE-LU"
+    )
+
+
 def _vintage_hour_sql(extra: str) -> str:
     means = ", ".join(f"avg({c}) AS {c}" for c in K.WEATHER_ERRORS)
     return f"""

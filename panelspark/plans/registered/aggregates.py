@@ -216,15 +216,13 @@ _CONDITIONS = {
     "condition_summary",
     "condition s, rows i, mean_price_eur_mwh d, median_price_eur_mwh d, negative_price_rate d, "
     "price_spike_rate d, mean_renewable_share d",
-    "SELECT * FROM ("
-    + " UNION ALL ".join(
+    " UNION ALL ".join(
         f"SELECT '{name}' AS condition, count(*) AS rows, avg(price_day_ahead_eur_mwh) AS mean_price_eur_mwh,"
         " median(price_day_ahead_eur_mwh) AS median_price_eur_mwh,"
         " avg(negative_price_flag::INT) AS negative_price_rate, avg(price_spike_flag::INT) AS price_spike_rate,"
         f" avg(renewable_share) AS mean_renewable_share FROM energy_weather WHERE {mask}"
         for name, mask in _CONDITIONS.items()
-    )
-    + ") WHERE rows > 0",
+    ),
     "energy_weather",
 )
 def condition_summary(spark, sf_dir):

@@ -107,9 +107,7 @@ _IMPACT = (
     "vintage_hours dynamics",
 )
 def mart_forecast_impact(spark, sf_dir):
-    return marts.forecast_impact(
-        X.market_observations(spark, sf_dir), X.forecast_errors(spark, sf_dir), "DE-LU"
-    )
+    return X.zone_impact_panel(spark, sf_dir)
 
 
 @query("mart_multi_zone_impact", _IMPACT + ", weather_location s", "SELECT * FROM impact", "impact")

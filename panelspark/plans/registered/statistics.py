@@ -21,7 +21,6 @@ from panelspark.operators.regression import (
 )
 from panelspark.plans import fixtures as X
 from panelspark.plans import suites
-from panelspark.plans.registered.aggregates import matched
 from panelspark.plans.registered.scans import overall_sql
 from panelspark.plans.registered.spec import query
 
@@ -328,12 +327,12 @@ def model_suite_coefficients(spark, sf_dir):
 
 @query("model_suite_multi_vintage", _SUMMARY)
 def model_suite_multi_vintage(spark, sf_dir):
-    return suites.multi_vintage_suite(matched(spark, sf_dir).where("bzn = 'DE-LU'"))[1]
+    return suites.multi_vintage_suite(X.zone_impact_panel(spark, sf_dir))[1]
 
 
 @query("model_suite_single_zone", _SUMMARY)
 def model_suite_single_zone(spark, sf_dir):
-    return suites.single_zone_suite(matched(spark, sf_dir).where("bzn = 'DE-LU'"))[1]
+    return suites.single_zone_suite(X.zone_impact_panel(spark, sf_dir))[1]
 
 
 @query("model_suite_energy_weather", _SUMMARY)

@@ -26,6 +26,14 @@ ENGINE_SETTINGS = {
 # expression, wide plans are built several times faster.
 STATIC_SETTINGS = {"spark.python.sql.dataFrameDebugging.enabled": "false"}
 
+# Used when the master is not local: enough initial partitions that a shuffle
+# of tens of terabytes stays spillable; adaptive execution merges them again.
+CLUSTER_SETTINGS = {
+    "spark.sql.adaptive.coalescePartitions.initialPartitionNum": "16384",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "256m",
+    "spark.sql.files.maxPartitionBytes": "256m",
+}
+
 
 def build_session(
     app_name: str = "panelspark",
@@ -36,7 +44,9 @@ def build_session(
     builder = SparkSession.builder.appName(app_name)
     if master:
         builder = builder.master(master)
-    for key, value in {**ENGINE_SETTINGS, **STATIC_SETTINGS, **(settings or {})}.items():
+    scale = {} if master and master.startswith("local") else CLUSTER_SETTINGS
+    merged = {**ENGINE_SETTINGS, **STATIC_SETTINGS, **scale, **(settings or {})}
+    for key, value in merged.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
 

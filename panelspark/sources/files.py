@@ -123,10 +123,9 @@ def artifact_files(files: DataFrame, artifact: str = "artifact") -> DataFrame:
 def read_tolerant_json(spark: SparkSession, path: str, pattern: str = "*.json") -> DataFrame:
     """(path, document): unreadable text becomes an empty document."""
     text = (
-        spark.read.option("wholetext", "true")
-        .option("recursiveFileLookup", "true")
+        spark.read.option("recursiveFileLookup", "true")
         .option("pathGlobFilter", pattern)
-        .text(path)
+        .text(path, wholetext=True)
     )
     return text.select(
         F.col("_metadata.file_path").alias("path"), tolerant_document("value").alias("document")

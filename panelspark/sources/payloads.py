@@ -245,3 +245,9 @@ def validate_payloads(raw: DataFrame, endpoint: str = "endpoint", body: str = "b
             (F.col(endpoint) == name) & absent, F.lit(f"{name} response has no {key}")
         )
     return raw.withColumn("problem", problem)
+
+
+def split_payloads(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(usable, quarantine): refused payloads keep the reason they were refused."""
+    judged = validate_payloads(raw)
+    return judged.where("problem IS NULL").drop("problem"), judged.where("problem IS NOT NULL")

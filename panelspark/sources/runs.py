@@ -60,7 +60,7 @@ def run_catalog(
         raise ValueError("the run count must be positive")
     if first.hour not in RUN_HOURS or first.year < FIRST_RUN_YEAR:
         raise ValueError(f"runs start at {RUN_HOURS} UTC from {FIRST_RUN_YEAR} on")
-    begin = F.to_timestamp(F.lit(start), F.lit("yyyy-MM-dd'T'HH:mm"))
+    begin = F.to_timestamp(F.lit(start), "yyyy-MM-dd'T'HH:mm")
     bounds = spark.range(1).select(
         begin.alias("start_run"),
         F.timestamp_add("HOUR", F.lit(interval_hours * (count - 1)), begin).alias("end_run"),
