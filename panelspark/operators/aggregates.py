@@ -44,12 +44,15 @@ def errors_by_vintage_hour(
     complete_rows = F.lit(True)
     for key in keys:
         complete_rows = complete_rows & F.col(key).isNotNull()
+    # with the location among the keys a group has exactly one, and counting
+    # distinct values would cost a second shuffle
+    locations = F.max(F.lit(1)) if "location" in keys else F.countDistinct("location")
     return (
         errors.where(complete_rows)
         .groupBy(*keys)
         .agg(
             *[F.avg(c).alias(c) for c in WEATHER_ERRORS],
-            F.countDistinct("location").alias("weather_location_count"),
+            locations.cast("bigint").alias("weather_location_count"),
         )
         .withColumn("weather_location_complete", F.col("weather_location_count") >= complete_from)
     )

@@ -27,7 +27,7 @@ from panelspark.operators.regression import (
 )
 from panelspark.session import materialize
 
-MAX_BLOCK_NUMBERS = 50_000_000
+MAX_BLOCK_NUMBERS = 5_000_000
 MAX_ENUMERATED_CLUSTERS = 16
 
 

@@ -32,16 +32,20 @@ def map_dimensions(long: DataFrame, mapping: DataFrame, column: str = "source_co
     broadcasts it by its size.
     """
     known = mapping.select(
-        F.col("column").alias(column), F.col("region").alias("_r"), F.col("metric").alias("_m")
+        F.col("column").alias(column),
+        F.col("region").alias("_r"),
+        F.col("metric").alias("_m"),
+        unit_of_metric("metric").alias("_u"),
     )
     joined = long.join(known, column, "left")
-    metric = F.coalesce("_m", column)
-    return (
-        joined.withColumn("region", F.coalesce("_r", F.lit("UNKNOWN")))
-        .withColumn("metric", metric)
-        .withColumn("unit", unit_of_metric("metric"))
-        .drop("_r", "_m")
-    )
+    # the unit of a mapped column is worked out once, on the mapping row
+    return joined.withColumns(
+        {
+            "region": F.coalesce("_r", F.lit("UNKNOWN")),
+            "metric": F.coalesce("_m", column),
+            "unit": F.coalesce("_u", unit_of_metric(column)),
+        }
+    ).drop("_r", "_m", "_u")
 
 
 def pivot_metrics(

@@ -30,12 +30,13 @@ def silver_long(
     Rows whose time could not be parsed are kept with a null time, so that
     the quality counters can see them; drop them with ``with_valid_time``.
     """
-    long = melt(wide, [time, local_time], values)
-    mapped = map_dimensions(long, mapping)
-    stamp = F.col(time)
-    if dict(wide.dtypes)[time] == "string":
-        stamp = C.to_timestamp(time)
-    stamped = mapped.withColumn("event_time_utc", stamp)
+    # the time is parsed once per wide row, before the row is cut into values
+    stamp = C.to_timestamp(time) if dict(wide.dtypes)[time] == "string" else F.col(time)
+    timed = wide.withColumns(
+        {"event_time_utc": stamp, "_year": F.year(stamp), "_month": F.month(stamp)}
+    )
+    long = melt(timed, ["event_time_utc", "_year", "_month", local_time], values)
+    stamped = map_dimensions(long, mapping)
     return stamped.select(
         F.lit("opsd").alias("source"),
         "region",
@@ -47,8 +48,8 @@ def silver_long(
         "unit",
         F.lit(ingested_at).alias("ingested_at_utc"),
         F.lit(batch_id).alias("batch_id"),
-        F.year("event_time_utc").cast("smallint").alias("year"),
-        F.month("event_time_utc").cast("tinyint").alias("month"),
+        F.col("_year").cast("smallint").alias("year"),
+        F.col("_month").cast("tinyint").alias("month"),
     )
 
 

@@ -13,7 +13,7 @@ from panelspark.operators.reshape import pivot_metrics
 from panelspark.plans import fixtures as X
 from panelspark.plans import marts
 from panelspark.plans.registered.spec import query
-from panelspark.session import scratch_path
+from panelspark.session import materialize, scratch_path
 from panelspark.sources import files, payloads, runs, sinks
 from panelspark.streaming.incremental import read_silver, stream_bronze_to_silver
 
@@ -178,7 +178,9 @@ def _hourly_means(spark: SparkSession, sf_dir: str) -> DataFrame:
 def market_payloads(spark: SparkSession, sf_dir: str) -> dict[str, str]:
     """Price, power and power-forecast payloads per zone and day."""
     used = ["price_day_ahead", *POWER_SERIES.values(), *FORECAST_SERIES.values()]
-    daily = _daily_arrays(_hourly_means(spark, sf_dir), ["bzn"], "valid_time_utc", used)
+    daily = materialize(
+        _daily_arrays(_hourly_means(spark, sf_dir), ["bzn"], "valid_time_utc", used), "daily"
+    )
     keys = [
         "bzn",
         F.lit("xx").alias("country"),

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -51,26 +53,30 @@ def run_suite(
     spark = frame.sparkSession
     outcomes = list(dict.fromkeys(m.outcome for m in models))
     counts = frame.agg(*[F.count(o).alias(o) for o in outcomes]).first().asDict()
-    coefficients, summaries = [], []
-    for model in models:
+
+    def one(model: Model) -> tuple[list[tuple], tuple]:
         n = counts[model.outcome]
         if n < gate:
             reason = f"fewer than {gate} complete observations"
-            summaries.append((model.name, model.outcome, "SKIPPED", n, None, None, None, reason))
-            continue
+            return [], (model.name, model.outcome, "SKIPPED", n, None, None, None, reason)
         try:
             result = fit(frame, model)
         except (ValueError, ZeroDivisionError, np.linalg.LinAlgError) as problem:
-            summaries.append((model.name, model.outcome, "FAILED", n, None, None, None, str(problem)))
-            continue
-        for row in result.table():
-            coefficients.append(
-                (model.name, model.outcome, *row.values(), result.n, float(result.r_squared))
-            )
-        summaries.append(
-            (model.name, model.outcome, "PASS", result.n, float(result.r_squared),
-             float(result.adjusted_r_squared), result.df, None)
+            return [], (model.name, model.outcome, "FAILED", n, None, None, None, str(problem))
+        rows = [
+            (model.name, model.outcome, *row.values(), result.n, float(result.r_squared))
+            for row in result.table()
+        ]
+        return rows, (
+            model.name, model.outcome, "PASS", result.n, float(result.r_squared),
+            float(result.adjusted_r_squared), result.df, None,
         )
+
+    # the models are independent, so their jobs may share the cluster
+    with ThreadPoolExecutor(max_workers=len(models)) as pool:
+        results = list(pool.map(inheritable_thread_target(spark)(one), models))
+    coefficients = [row for rows, _ in results for row in rows]
+    summaries = [summary for _, summary in results]
     return (
         spark.createDataFrame(coefficients, COEFFICIENT_SCHEMA),
         spark.createDataFrame(summaries, SUMMARY_SCHEMA),
