@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from panelspark.constants import VARIABLE_LABELS, WEATHER_ERRORS, WEATHER_VARIABLES
+from panelspark.operators.guards import duplicate_key_count
 from panelspark.operators.quantiles import (
     average_ranks,
     exact_quantiles,
@@ -269,12 +270,11 @@ def match_summary(df: DataFrame, flag: str) -> DataFrame:
     )
 
 
-def silver_counters(long: DataFrame) -> DataFrame:
-    """Quality counters of the long Silver table before bad times are dropped."""
+def _silver_counters() -> list[Column]:
     valid = F.col("event_time_utc").isNotNull()
     value = F.col("value")
     outside = ~value.between(0.0, 1.0)
-    return long.agg(
+    return [
         F.count(F.lit(1)).alias("non_null_values"),
         F.count_if(valid).alias("rows_written"),
         F.count_if(~valid).alias("invalid_timestamp_count"),
@@ -284,7 +284,39 @@ def silver_counters(long: DataFrame) -> DataFrame:
         F.count_if(valid & (F.col("unit") == "fraction") & outside).alias(
             "profile_out_of_range_count"
         ),
-    )
+    ]
+
+
+def silver_counters(long: DataFrame) -> DataFrame:
+    """Quality counters of the long Silver table before bad times are dropped."""
+    return long.agg(*_silver_counters())
+
+
+def observe_silver(long: DataFrame, name: str = "silver_counters") -> tuple[DataFrame, Observation]:
+    """The same rows, and the counters gathered while they are written.
+
+    ``observation.get`` holds the counters after the write, so the delivery is
+    not read a second time for its report.
+    """
+    observation = Observation(name)
+    return long.observe(observation, *_silver_counters()), observation
+
+
+def silver_report(long: DataFrame) -> dict:
+    """Counters, duplicate keys and unmapped columns of a Silver batch.
+
+    Unmapped columns are names of a file header, so their list is short.
+    """
+    valid = long.where(F.col("event_time_utc").isNotNull())
+    duplicates = duplicate_key_count(valid, ["region", "metric", "event_time_utc"]).first()
+    unmapped = valid.where(F.col("region") == "UNKNOWN").select("source_column").distinct()
+    names = sorted(row[0] for row in unmapped.collect())
+    return {
+        **silver_counters(long).first().asDict(),
+        "duplicate_key_count": duplicates["duplicate_key_count"],
+        "unknown_column_count": len(names),
+        "unknown_columns": names,
+    }
 
 
 def source_report(

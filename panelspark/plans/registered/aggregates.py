@@ -38,6 +38,11 @@ def matched_table(spark, sf_dir):
     return materialize(matched(spark, sf_dir), "matched")
 
 
+def energy_weather_table(spark, sf_dir):
+    """The energy-weather panel written once, as the Gold mart would be."""
+    return materialize(X.energy_weather(spark, sf_dir), "energy-weather")
+
+
 def matched_with_bins(spark, sf_dir):
     return marts.add_horizon_bins(matched(spark, sf_dir))
 
@@ -226,7 +231,7 @@ _CONDITIONS = {
     "energy_weather",
 )
 def condition_summary(spark, sf_dir):
-    return A.condition_summary(X.energy_weather(spark, sf_dir))
+    return A.condition_summary(energy_weather_table(spark, sf_dir))
 
 
 @query(
@@ -251,6 +256,7 @@ def quantile_bin_curve(spark, sf_dir):
         "price_day_ahead_eur_mwh",
         F.col("negative_price_flag").cast("int").alias("negative"),
     ).dropna()
+    panel = materialize(panel, "curve")
     means = {"mean_price": "price_day_ahead_eur_mwh", "negative_rate": "negative"}
     return A.quantile_bin_curve(panel, "renewable_share_pct", means)
 
@@ -275,7 +281,9 @@ _LONG_ABSOLUTE = " UNION ALL ".join(
     "errors",
 )
 def error_distribution(spark, sf_dir):
-    return A.error_distribution(X.forecast_errors(spark, sf_dir))
+    absolute = [f"{v}_absolute_error" for v in K.WEATHER_VARIABLES]
+    errors = X.forecast_errors(spark, sf_dir).select("horizon_bin_start_hours", *absolute)
+    return A.error_distribution(materialize(errors, "errors"))
 
 
 @query(

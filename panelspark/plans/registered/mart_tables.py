@@ -11,6 +11,7 @@ from panelspark.plans.registered import scans
 from panelspark.plans.registered.reshape import MAPPED_SQL, mapping_frame
 from panelspark.plans.registered.scans import WIDE_VALUES
 from panelspark.plans.registered.spec import query
+from panelspark.session import materialize
 from panelspark.sources import payloads
 
 
@@ -133,7 +134,9 @@ USING (bzn, metric)"""
     "hourly",
 )
 def mart_market_silver(spark, sf_dir):
-    return marts.market_silver(scans.market_silver_rows(spark, sf_dir))
+    # the payloads are parsed once; the series steps read the typed rows
+    rows = materialize(scans.market_silver_rows(spark, sf_dir), "market-rows")
+    return marts.market_silver(rows)
 
 
 @query(

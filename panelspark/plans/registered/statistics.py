@@ -21,6 +21,7 @@ from panelspark.operators.regression import (
 )
 from panelspark.plans import fixtures as X
 from panelspark.plans import suites
+from panelspark.plans.registered.aggregates import energy_weather_table
 from panelspark.plans.registered.scans import overall_sql
 from panelspark.plans.registered.spec import query
 
@@ -304,7 +305,7 @@ def _spearman_sql() -> str:
     "energy_weather",
 )
 def spearman_matrix(spark, sf_dir):
-    return A.spearman_matrix(X.energy_weather(spark, sf_dir), RANKED)
+    return A.spearman_matrix(energy_weather_table(spark, sf_dir), RANKED)
 
 
 _SUMMARY = "model s, outcome s, status s, n i, r_squared d, adjusted_r_squared d, inference_df i"

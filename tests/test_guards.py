@@ -1,6 +1,7 @@
 import pytest
 
 from panelspark.operators import guards, joins, reshape
+from panelspark.operators.aggregates import observe_silver, silver_counters, silver_report
 from panelspark.plans import marts
 
 
@@ -58,9 +59,7 @@ def test_missing_required(spark):
     assert [tuple(r) for r in guards.missing_required(f, "z", "m", ["x", "y"]).collect()] == [("B", "x")]
 
 
-def test_silver_long_drops_and_counts(spark):
-    from panelspark.operators.aggregates import silver_counters
-
+def test_silver_long_drops_and_counts(spark, folder):
     wide = frame(spark, "utc string, cet string, a string, b string",
                  [("2024-01-01T00:00:00Z", "l1", "1", "-2"), ("never", "l2", "3", None)])
     mapping = frame(spark, "column string, region string, metric string", [("a", "AT", "wind_profile")])
@@ -73,3 +72,8 @@ def test_silver_long_drops_and_counts(spark):
         "non_null_values": 3, "rows_written": 2, "invalid_timestamp_count": 1,
         "negative_physical_value_count": 1, "profile_out_of_range_count": 0,
     }
+    rows, observation = observe_silver(long)
+    marts.with_valid_time(rows).write.parquet(f"{folder}/silver")
+    assert observation.get == counters
+    report = silver_report(long.unionByName(long))
+    assert report["duplicate_key_count"] == 2 and report["unknown_columns"] == ["b"]
