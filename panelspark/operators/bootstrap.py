@@ -49,11 +49,9 @@ def cluster_blocks(df: DataFrame, model: Model, cluster: str):
             yield (group,), _cells_to_gram(part, model, levels)
 
     summed = _sum_matrices(cells, per_cluster, ("_g",), "_g string")
-    grouped: dict[str, list] = {}
-    for row in summed:
-        grouped.setdefault(row["_g"], []).append(row)
+    grouped = {group: _as_matrix(own, size) for group, own in summed.groupby("_g")}
     names = sorted(grouped)
-    return names, terms, np.stack([_as_matrix(grouped[g], size) for g in names])
+    return names, terms, np.stack([grouped[g] for g in names])
 
 
 def sign_weights(reps: int, clusters: int, seed: int, exact: bool = False) -> np.ndarray:

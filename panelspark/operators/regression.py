@@ -200,11 +200,25 @@ def _cells_to_gram(frame: pd.DataFrame, model: Model, levels: dict[str, list]) -
     return gram
 
 
-def _sum_matrices(frame: DataFrame, make, keys: Sequence[str], schema_keys: str) -> list:
+def _upper(matrix: np.ndarray) -> np.ndarray:
+    """The upper triangle of a symmetric matrix, row by row."""
+    return matrix[np.triu_indices(len(matrix))]
+
+
+def _as_matrix(values: pd.DataFrame, size: int) -> np.ndarray:
+    """The symmetric matrix behind (pos, value) rows of an upper triangle."""
+    flat = np.zeros(size * (size + 1) // 2)
+    flat[values["pos"].to_numpy()] = values["value"].to_numpy()
+    matrix = np.zeros((size, size))
+    matrix[np.triu_indices(size)] = flat
+    return matrix + np.triu(matrix, 1).T
+
+
+def _sum_matrices(frame: DataFrame, make, keys: Sequence[str], schema_keys: str) -> pd.DataFrame:
     """Fold batches to one matrix per task (and key), then sum them in Spark.
 
-    ``make(batch)`` yields (key tuple, matrix). The shuffle carries k x k
-    numbers per task and key.
+    ``make(batch)`` yields (key tuple, symmetric matrix). The shuffle and the
+    driver see the upper triangle of k x k numbers per task and key.
     """
 
     def fold(batches):
@@ -214,24 +228,15 @@ def _sum_matrices(frame: DataFrame, make, keys: Sequence[str], schema_keys: str)
                 for key, matrix in make(batch):
                     total[key] = total[key] + matrix if key in total else matrix
         for key, matrix in total.items():
-            flat = matrix.ravel()
+            flat = _upper(matrix)
             out = {name: [part] * len(flat) for name, part in zip(keys, key)}
             out["pos"] = np.arange(len(flat), dtype="int64")
             out["value"] = flat
             yield pd.DataFrame(out)
 
     schema = f"{schema_keys}{', ' if schema_keys else ''}pos long, value double"
-    summed = (
-        frame.mapInPandas(fold, schema).groupBy(*keys, "pos").agg(F.sum("value").alias("value"))
-    )
-    return summed.collect()
-
-
-def _as_matrix(rows: list, size: int) -> np.ndarray:
-    flat = np.zeros(size * size)
-    for row in rows:
-        flat[row["pos"]] = row["value"]
-    return flat.reshape(size, size)
+    summed = frame.mapInPandas(fold, schema).groupBy(*keys, "pos")
+    return summed.agg(F.sum("value").alias("value")).toPandas()
 
 
 def gram_matrix(cells: DataFrame, model: Model, levels: dict[str, list]) -> np.ndarray:
@@ -341,8 +346,8 @@ def _meat(scores: DataFrame, size: int) -> dict[str, tuple[np.ndarray, int]]:
 
     rows = _sum_matrices(scores, outer, ("kind",), "kind string")
     result = {}
-    for kind in {row["kind"] for row in rows}:
-        matrix = _as_matrix([r for r in rows if r["kind"] == kind], size + 1)
+    for kind, own in rows.groupby("kind"):
+        matrix = _as_matrix(own, size + 1)
         result[kind] = (matrix[:size, :size], int(round(matrix[size, size])))
     return result
 
@@ -450,7 +455,7 @@ def fit_hac(
             lagged[lag:] += weights[lag] * u[: len(u) - lag] if lag < len(u) else 0.0
         own_rows, earlier = u[start:], lagged[start:]
         crossed = own_rows.T @ earlier
-        meat = (own_rows.T @ own_rows + crossed + crossed.T).ravel()
+        meat = _upper(own_rows.T @ own_rows + crossed + crossed.T)
         return pd.DataFrame({"pos": np.arange(len(meat)), "value": meat})
 
     rows_sum = (
@@ -458,7 +463,7 @@ def fit_hac(
         .applyInPandas(lag_products, "pos long, value double")
         .groupBy("pos")
         .agg(F.sum("value").alias("value"))
-        .collect()
+        .toPandas()
     )
     fit.se = _errors(_sandwich(fit, _as_matrix(rows_sum, size)))
     fit.details = {"lags": lags}
