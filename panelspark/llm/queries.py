@@ -5,16 +5,33 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from panelspark.llm import exact_dedup as exact
+from panelspark.llm import language
 from panelspark.llm import near_dedup as near
+from panelspark.llm import quality
 from panelspark.llm.common import table
 
 
+def op5_string_kernel_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document."""
+    found = language.identify(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "held_out", "lang_pred", "score")
+
+
 def op6_superminhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate groups of all documents on two-word shingles at 0.8."""
     groups = near.near_groups(table(spark, sf_dir, "documents"), shingle_words=2, percent=80)
     return groups.select("doc_id", "n_shingles", "component_id", "kept")
 
 
+def op7_likelihood_ratio_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base counts and verdict of every document."""
+    found = quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return found.select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+        "base_failed", "kept", "llr",
+    )
+
+
 def op9_chunk_recipe_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exact groups of all documents by chunk recipes."""
     groups = exact.exact_groups(table(spark, sf_dir, "documents"))
@@ -22,7 +39,9 @@ def op9_chunk_recipe_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op5_string_kernel_language": op5_string_kernel_language,
     "op6_superminhash_near_dedup": op6_superminhash_near_dedup,
+    "op7_likelihood_ratio_quality": op7_likelihood_ratio_quality,
     "op9_chunk_recipe_exact_dedup": op9_chunk_recipe_exact_dedup,
 }
 ORACLES = {
