@@ -2,15 +2,22 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from panelspark.llm import exact_dedup as exact
 from panelspark.llm import language
 from panelspark.llm import near_dedup as near
-from panelspark.llm import quality
+from panelspark.llm import packing, quality
 from panelspark.llm.common import table
 
 
+def op2_deficit_round_robin_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in windows of 2048 tokens with the corpus mixture of sources."""
+    vocabulary = public_tokenizers.path("byte_bpe_50k.json")
+    return packing.pack(table(spark, sf_dir, "documents"), vocabulary, contents=False).drop("source", "ids")
+
+
 def op5_string_kernel_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of every document."""
     found = language.identify(table(spark, sf_dir, "documents"))
@@ -39,6 +46,7 @@ def op9_chunk_recipe_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_deficit_round_robin_packing": op2_deficit_round_robin_packing,
     "op5_string_kernel_language": op5_string_kernel_language,
     "op6_superminhash_near_dedup": op6_superminhash_near_dedup,
     "op7_likelihood_ratio_quality": op7_likelihood_ratio_quality,
