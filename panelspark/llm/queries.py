@@ -5,8 +5,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from panelspark.llm import bpe_automaton, language
 from panelspark.llm import exact_dedup as exact
-from panelspark.llm import language
 from panelspark.llm import near_dedup as near
 from panelspark.llm import packing, quality
 from panelspark.llm.common import table
@@ -18,6 +18,12 @@ def op2_deficit_round_robin_packing(spark: SparkSession, sf_dir: str) -> DataFra
     return packing.pack(table(spark, sf_dir, "documents"), vocabulary, contents=False).drop("source", "ids")
 
 
+def op4_bpe_automaton_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids and decoded text of every document, as digests."""
+    vocabulary = public_tokenizers.path("word_bpe_49k.json")
+    return bpe_automaton.encode(table(spark, sf_dir, "documents"), vocabulary, digests=True)
+
+
 def op5_string_kernel_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of every document."""
     found = language.identify(table(spark, sf_dir, "documents"))
@@ -47,6 +53,7 @@ def op9_chunk_recipe_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_deficit_round_robin_packing": op2_deficit_round_robin_packing,
+    "op4_bpe_automaton_round_trip": op4_bpe_automaton_round_trip,
     "op5_string_kernel_language": op5_string_kernel_language,
     "op6_superminhash_near_dedup": op6_superminhash_near_dedup,
     "op7_likelihood_ratio_quality": op7_likelihood_ratio_quality,
