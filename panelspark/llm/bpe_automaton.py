@@ -29,6 +29,8 @@ from pyspark.sql import functions as F
 from panelspark.llm.common import mixed, named, worker_state
 from panelspark.llm.tokens import _byte_letters
 
+# code points with the White_Space property (fixed values)
+_WHITE = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 _NEVER = np.iinfo(np.int32).max
 _CACHED_STRETCHES = 300_000
 _STEP_ROWS = 400
@@ -211,7 +213,7 @@ class Encoder:
         self.words = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\p{L}\p{N}]+")
         self.specials = {t["content"]: str(t["id"]) for t in content["added_tokens"]}
         self.special = re.compile("(" + "|".join(map(re.escape, self.specials)) + ")")
-        self.white = re.compile(r"[\t-\r \x85\xa0  -     　]+")
+        self.white = re.compile("[" + "".join(map(chr, _WHITE)) + "]+")
         self.narrow = re.compile("[\x1c-\x1f]")
         self.known: dict[str, tuple[str, str]] = {}
 
