@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from panelspark.llm import bpe_automaton, language
+from panelspark.llm import bpe_automaton, html_text, language
 from panelspark.llm import exact_dedup as exact
 from panelspark.llm import near_dedup as near
 from panelspark.llm import packing, quality
@@ -18,6 +18,11 @@ def op2_deficit_round_robin_packing(spark: SparkSession, sf_dir: str) -> DataFra
     return packing.pack(table(spark, sf_dir, "documents"), vocabulary, contents=False).drop("source", "ids")
 
 
+def op3_tag_path_ratio_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 def op4_bpe_automaton_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids and decoded text of every document, as digests."""
     vocabulary = public_tokenizers.path("word_bpe_49k.json")
@@ -53,6 +58,7 @@ def op9_chunk_recipe_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_deficit_round_robin_packing": op2_deficit_round_robin_packing,
+    "op3_tag_path_ratio_text": op3_tag_path_ratio_text,
     "op4_bpe_automaton_round_trip": op4_bpe_automaton_round_trip,
     "op5_string_kernel_language": op5_string_kernel_language,
     "op6_superminhash_near_dedup": op6_superminhash_near_dedup,
