@@ -75,7 +75,9 @@ def _furniture(tag: str, attributes: str, inside: int) -> bool:
             return True
         if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
             return True
-        if name in ("class", "id") and tag not in MAIN and any(w in NEVER_WORDS for w in _WORDS.findall(value)):
+        if name in ("class", "id") and tag not in MAIN and any(
+            w in NEVER_WORDS and not (inside and tag == "header" and w == "header") for w in _WORDS.findall(value)
+        ):
             return True
     return False
 

@@ -236,6 +236,7 @@ def pack(
             "doc_id long, source string, part long, place long, doc_tokens long, ids binary",
         ),
         "token-streams",
+        codec="zstd",
     )
     streams = tokens.groupBy("source", "part").agg(F.sum("doc_tokens").alias("tokens"))
     before = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)

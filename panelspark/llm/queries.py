@@ -4,12 +4,20 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from panelspark.llm import bpe_automaton, html_text, language
+from panelspark.llm import bpe_automaton, html_text, language, licenses, packing, quality, separators, url_templates
 from panelspark.llm import exact_dedup as exact
 from panelspark.llm import near_dedup as near
-from panelspark.llm import packing, quality
-from panelspark.llm.common import table
+from panelspark.llm.common import table, written
+
+
+END_OF_DOCUMENT = 50256
+
+
+def op1_license_digest_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Known licence texts and notices among all documents."""
+    return licenses.scan(table(spark, sf_dir, "documents"))
 
 
 def op2_deficit_round_robin_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,15 +64,37 @@ def op9_chunk_recipe_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op8_separator_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every document, counted in flat streams of all documents' ids."""
+    vocabulary = public_tokenizers.path("byte_bpe_50k.json")
+    streams = separators.token_streams(table(spark, sf_dir, "documents"), vocabulary, END_OF_DOCUMENT)
+    blocks = written(streams, "token-streams", codec="zstd")
+    return separators.token_counts(blocks, END_OF_DOCUMENT)
+
+
+def op10_path_template_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict of every page's url; a page's label is that of the document its path names."""
+    pages, labels = table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels")
+    named_document = F.regexp_extract(url_templates.host_and_path(F.col("url"))[1], r"/([0-9]{1,18})", 1)
+    linked = pages.select("page_id", F.when(named_document != "", named_document.cast("long")).alias("doc_id"))
+    bad = F.when((F.col("quality") == 0) | (F.col("toxic") == 1), 1).otherwise(0)
+    marked = linked.join(labels.select("doc_id", bad.alias("bad")), "doc_id").select("page_id", "bad")
+    return url_templates.judge_urls(pages, marked)
+
+
 QUERIES = {
+    "op1_license_digest_scan": op1_license_digest_scan,
     "op2_deficit_round_robin_packing": op2_deficit_round_robin_packing,
     "op3_tag_path_ratio_text": op3_tag_path_ratio_text,
     "op4_bpe_automaton_round_trip": op4_bpe_automaton_round_trip,
     "op5_string_kernel_language": op5_string_kernel_language,
     "op6_superminhash_near_dedup": op6_superminhash_near_dedup,
     "op7_likelihood_ratio_quality": op7_likelihood_ratio_quality,
+    "op8_separator_token_counts": op8_separator_token_counts,
     "op9_chunk_recipe_exact_dedup": op9_chunk_recipe_exact_dedup,
+    "op10_path_template_url_filter": op10_path_template_url_filter,
 }
 ORACLES = {
+    "op1_license_digest_scan": licenses.oracle(),
     "op9_chunk_recipe_exact_dedup": exact.ORACLE,
 }

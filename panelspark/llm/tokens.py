@@ -71,14 +71,17 @@ def _load(vocabulary: str):
     return encode, _Stretches(quick), sorted(specials)
 
 
-def byte_bpe_ids(texts: list, vocabulary: str) -> list[bytes]:
-    """Ids of every text, null as empty, as the tokenizers library gives them."""
+def byte_bpe_ids(texts: list, vocabulary: str, ordinary: bool = False) -> list[bytes]:
+    """Ids of every text, null as empty, as the tokenizers library gives them.
+
+    With ``ordinary``, the strings of special tokens are text like any other.
+    """
     encode, stretches, specials = worker_state(("byte-bpe", vocabulary), lambda: _load(vocabulary))
     found = []
     for text in texts:
         text = text or ""
         if _WIDE_SPACE.search(text) or any(s in text for s in specials):
-            found.append(np.array(encode(text), "<u2").tobytes())
+            found.append(np.array((stretches.encode if ordinary else encode)(text), "<u2").tobytes())
             continue
         parts = text.split(" ")
         first = np.array(encode(parts[0]), "<u2").tobytes()
