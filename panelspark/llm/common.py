@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from panelspark.session import scratch_path
 
@@ -31,6 +32,12 @@ def named(df: DataFrame, column: str) -> Column:
     return df[f"`{column}`"]
 
 
+def extended(df: DataFrame, left_out: str, added: str) -> T.StructType:
+    """The schema of ``df`` without one column and with those of a DDL string."""
+    kept = [f for f in df.schema.fields if f.name != left_out]
+    return T.StructType([*kept, *T.StructType.fromDDL(added).fields])
+
+
 def worker_state(key: tuple, build: Callable):
     """An object kept for the life of a Python worker, so tasks share compiled tables.
 

@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from panelspark.llm.common import named
+from panelspark.llm.common import extended, named
 
 # HTML element names by what they mean for a page (fixed values)
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
@@ -238,5 +238,4 @@ def extract(df: DataFrame, html_column: str = "html", id_column: str = "page_id"
     picked = df.select(
         named(df, id_column).alias("page_id"), named(df, url_column).alias("url"), named(df, html_column).alias("html")
     )
-    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in picked.schema.fields if f.name != "html")
-    return picked.mapInArrow(_extracted, f"{kinds}, text string, n_chars long")
+    return picked.mapInArrow(_extracted, extended(picked, "html", "text string, n_chars long"))

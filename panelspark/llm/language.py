@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelspark.llm.common import id_crc, mixed, named, worker_state
+from panelspark.llm.common import extended, id_crc, mixed, named, worker_state
 
 BUCKET_BITS = 17
 ORDERS = 4
@@ -198,8 +198,8 @@ def identify(
     )
     model = fit(picked, sample_rows, landmarks)
     rest = picked.drop("lang").withColumn("held_out", held_out(F.col("doc_id")))
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rest.schema.fields if f.name != "text")
-    return rest.mapInArrow(partial(_predicted, model=model), f"{schema}, lang_pred string, score double")
+    schema = extended(rest, "text", "lang_pred string, score double")
+    return rest.mapInArrow(partial(_predicted, model=model), schema)
 
 
 def keep_identified(df: DataFrame, text_column: str = "text", id_column: str = "doc_id", lang_column: str = "lang") -> DataFrame:

@@ -17,8 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelspark.llm.common import named, row_slices, text_bytes, written
-from panelspark.llm.words import sequence_hashes, span_hashes, word_spans, mixed
+from panelspark.llm.common import extended, mixed, named, row_slices, text_bytes, written
+from panelspark.llm.words import sequence_hashes, span_hashes, word_spans
 
 BUCKET_BITS = 16
 ORDERS = 3
@@ -220,9 +220,9 @@ def judge(
     raw, target = np.zeros(size, np.int64), np.zeros(size, np.int64)
     buckets = counts.column("bucket").to_numpy()
     raw[buckets], target[buckets] = counts.column("raw").to_numpy(), counts.column("target").to_numpy()
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in marked.schema.fields if f.name != "text")
     numbers = ", ".join(f"{n} long" for n in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"))
-    measured = marked.mapInArrow(partial(_measured, ratios=log_ratios(raw, target)), f"{schema}, {numbers}, llr double")
+    schema = extended(marked, "text", f"{numbers}, llr double")
+    measured = marked.mapInArrow(partial(_measured, ratios=log_ratios(raw, target)), schema)
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     measured = written(measured.withColumn("base_failed", failed), "quality-measures")
     known = measured.where("good IS NOT NULL AND NOT base_failed").select("good", "llr").toArrow()
