@@ -2,10 +2,15 @@
 
 1. Documents with equal shingle sets collapse to one class, so copies cost one row.
 2. Every class gets a SuperMinHash signature; bands of it are bucket keys.
-3. Members of a bucket are compared with its smallest id on their full sets.
-4. Where a bucket still spans several groups, all its pairs from different groups
-   are compared too, in blocks, so no link between groups is lost.
-5. The links are grouped by distributed union-find (star contraction).
+3. Members of a bucket are compared with its smallest id on their full sets, and
+   the links are grouped by distributed union-find (star contraction).
+4. Where a bucket still spans several groups, the members outside the group of a
+   pivot, another one in each bucket, are compared with it, a few times over.
+5. Where a bucket spans several groups even then, all its pairs from different
+   groups that can still reach the similarity are compared, in blocks, so no link
+   between groups is lost. Bitmaps of the sets bound every overlap from above
+   (each differing shingle flips a bit, so sets differ in no less than the
+   bitmaps do), which leaves few pairs besides the true links.
 """
 
 from __future__ import annotations
@@ -18,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelspark.llm.common import mixed, named, row_slices, text_bytes, written
+from panelspark.llm.common import extended, mixed, named, row_slices, text_bytes, written
 from panelspark.llm.graph import components
 from panelspark.llm.words import shingle_sets
 
@@ -26,6 +31,8 @@ BANDS, BAND_ROWS = 32, 5
 _SLICE_BYTES = 1 << 20
 _BLOCK_ELEMENTS = 60_000
 _BUCKET_BLOCK = 1_000
+_PIVOT_ROUNDS = 1
+_BITMAP_LONGS = 32
 _NEVER = np.uint64(2**64 - 1)
 
 
@@ -103,13 +110,20 @@ def _signed(batches: Iterator[pa.RecordBatch], size: int, bands: int, band_rows:
 def _sets(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for first, last, hashes, owners in _shingles(batch, size):
-            ends = np.concatenate([[0], np.cumsum(np.bincount(owners, minlength=last - first))])
+            rows = last - first
+            ends = np.concatenate([[0], np.cumsum(np.bincount(owners, minlength=rows))])
+            width = 64 * _BITMAP_LONGS
+            flips = np.bincount(owners * width + (hashes % np.uint64(width)).astype(np.int64), minlength=rows * width)
+            bits = np.packbits((flips & 1).astype(bool).reshape(rows, width), axis=1).view(np.int64)
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column("doc_id").slice(first, last - first),
+                    batch.column("doc_id").slice(first, rows),
                     pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(hashes.view(np.int64))),
+                    pa.ListArray.from_arrays(
+                        pa.array(np.arange(rows + 1, dtype=np.int32) * _BITMAP_LONGS), pa.array(bits.ravel())
+                    ),
                 ],
-                names=["doc_id", "members"],
+                names=["doc_id", "members", "bits"],
             )
 
 
@@ -118,6 +132,44 @@ def _close_sizes(a: Column, b: Column, percent: int) -> Column:
     return 100 * F.least(a, b) >= percent * F.greatest(a, b)
 
 
+def _reachable_pairs(table: pa.Table, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of one bucket and pair of blocks, from different groups, that sizes and
+    bitmaps allow to be links."""
+    rep, n, group = (table.column(c).to_numpy() for c in ("rep", "n", "component"))
+    block, i, j = (table.column(c).to_numpy() for c in ("block", "i", "j"))
+    bits = table.column("bits").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(-1, _BITMAP_LONGS)
+    left = np.flatnonzero(block == i)
+    right = left if i[0] == j[0] else np.flatnonzero(block == j)
+    found_a, found_b = [], []
+    for k in left:
+        other = right[(group[right] != group[k]) & (rep[right] < rep[k] if i[0] == j[0] else True)]
+        other = other[100 * np.minimum(n[other], n[k]) >= percent * np.maximum(n[other], n[k])]
+        if len(other):
+            differ = np.bitwise_count(bits[other] ^ bits[k]).sum(axis=1, dtype=np.int64)
+            other = other[(100 + percent) * differ <= (100 - percent) * (n[other] + n[k])]
+            found_a.append(np.maximum(rep[other], rep[k]))
+            found_b.append(np.minimum(rep[other], rep[k]))
+    none = np.zeros(0, np.int64)
+    return np.concatenate([none, *found_a]), np.concatenate([none, *found_b])
+
+
+def _compared(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by (band, i, j) to the pairs of each such run."""
+    rest = None
+    for batch in batches:
+        table = pa.Table.from_batches([batch])
+        table = pa.concat_tables([rest, table]) if rest is not None else table
+        keys = np.stack([table.column(c).to_numpy() for c in ("band", "i", "j")])
+        starts = np.concatenate([[0], np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1])
+        for begin, end in zip(starts[:-1], starts[1:]):
+            a, b = _reachable_pairs(table.slice(begin, end - begin), percent)
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+        rest = table.slice(starts[-1]) if table.num_rows else None
+    if rest is not None and rest.num_rows:
+        a, b = _reachable_pairs(rest, percent)
+        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+
 def verified_links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets reach the similarity."""
     left, right = sets.toDF("a", "set_of_a"), sets.toDF("b", "set_of_b")
@@ -163,11 +215,10 @@ def near_groups(
         named(df, text_column).alias("text"),
         *([F.struct(*[named(df, c) for c in df.columns]).alias("row")] if carry else []),
     )
-    kept_row = f", row {picked.schema['row'].dataType.simpleString()}" if carry else ""
     base = written(
         picked.mapInArrow(
             partial(_signed, size=shingle_words, bands=bands, band_rows=band_rows),
-            f"doc_id long{kept_row}, n_shingles long, set_a long, set_b long, bands array<long>",
+            extended(picked, "text", "n_shingles long, set_a long, set_b long, bands array<long>"),
         ).withColumn("row_no", F.monotonically_increasing_id()),
         "signatures",
     )
@@ -193,7 +244,7 @@ def near_groups(
     buckets = written(entries.join(written(hubs, "band-hubs"), "band"), "buckets")
     star = written(
         buckets.where((F.col("rep") != F.col("hub")) & _close_sizes(F.col("n"), F.col("hub_n"), percent))
-        .select(F.col("rep").alias("a"), F.col("hub").alias("b")).distinct(),
+        .select(*_ordered(F.col("rep"), F.col("hub"))).distinct(),
         "star-pairs",
     )
     nodes = written(buckets.select(F.col("rep").alias("doc_id")).distinct(), "candidates")
@@ -201,14 +252,25 @@ def near_groups(
     texts = picked.select("doc_id", "text").where("doc_id IS NOT NULL").join(nodes, "doc_id", "left_semi")
     sets = written(
         texts.dropDuplicates(["doc_id"])
-        .mapInArrow(partial(_sets, size=shingle_words), "doc_id long, members array<long>"),
+        .mapInArrow(partial(_sets, size=shingle_words), "doc_id long, members array<long>, bits array<long>"),
         "shingle-sets",
     )
-    links = written(verified_links(star, sets, percent), "star-links")
-    grouped = written(components(links), "star-groups")
-    more = written(verified_links(_across_groups(buckets, grouped, star, percent), sets, percent), "more-links")
-    if not more.isEmpty():
-        grouped = written(components(links.unionByName(more)), "groups")
+    sets, bitmaps = sets.select("doc_id", "members"), sets.select(F.col("doc_id").alias("rep"), "bits")
+    grouped = written(components(written(verified_links(star, sets, percent), "links")), "groups")
+    done, split = star, buckets.select("band", "rep", "n", "n_members")
+    for step in range(_PIVOT_ROUNDS + 1):
+        split = _spanning(split, grouped)
+        pairs = (
+            _pivot_pairs(split, step, percent)
+            if step < _PIVOT_ROUNDS
+            else _all_pairs(split.join(bitmaps, "rep"), percent)
+        )
+        pairs = written(pairs.join(done, ["a", "b"], "left_anti"), "pairs")
+        more = written(verified_links(pairs, sets, percent), "links")
+        done = done.unionByName(pairs)
+        if not more.isEmpty():
+            old = grouped.select(F.col("doc_id").alias("a"), F.col("component").alias("b"))
+            grouped = written(components(old.unionByName(more)), "groups")
     members = classes.join(grouped.toDF("rep", "component"), "rep", "left").select(
         F.col("set_a").alias("class_a"), F.col("set_b").alias("class_b"), F.col("n_shingles").alias("class_n"),
         F.coalesce("component", "rep").alias("component"),
@@ -226,40 +288,60 @@ def near_groups(
     )
 
 
-def _across_groups(buckets: DataFrame, grouped: DataFrame, done: DataFrame, percent: int) -> DataFrame:
-    """Pairs of one bucket from different groups that were not compared yet.
-
-    Only buckets that span groups take part. They are cut into blocks of about
-    a thousand members, and the pairs of blocks are spread over tasks.
-    """
+def _spanning(buckets: DataFrame, grouped: DataFrame) -> DataFrame:
+    """The members of the buckets that span several groups, with their groups."""
     placed = written(
         buckets.select("band", "rep", "n", "n_members")
         .join(grouped.toDF("rep", "component"), "rep", "left")
         .withColumn("component", F.coalesce("component", "rep")),
         "bucket-groups",
     )
+    return _of_several_groups(placed)
+
+
+def _of_several_groups(placed: DataFrame) -> DataFrame:
     split = (
         placed.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high"))
         .where("low <> high").select("band")
     )
-    rest = placed.join(written(split, "split-buckets"), "band")
-    blocks = F.ceil(F.col("n_members") / _BUCKET_BLOCK).cast("int")
-    rest = rest.withColumn("block", F.pmod(F.xxhash64("rep"), blocks).cast("int"))
-    every = F.explode(F.sequence(F.lit(0), blocks - 1))
-    left = rest.withColumn("other", every).select(
-        "band", F.col("block").alias("i"), F.col("other").alias("j"),
-        F.col("rep").alias("a"), F.col("n").alias("n_a"), F.col("component").alias("of_a"),
+    return written(placed.join(written(split, "split-buckets"), "band"), "spanning")
+
+
+def _ordered(a: Column, b: Column) -> list[Column]:
+    return [F.greatest(a, b).alias("a"), F.least(a, b).alias("b")]
+
+
+def _pivot_pairs(members: DataFrame, step: int, percent: int) -> DataFrame:
+    """Each bucket's pivot, chosen by a hash, against the members of other groups."""
+    place = F.xxhash64("band", "rep", F.lit(step))
+    pivots = members.groupBy("band").agg(
+        F.min_by("rep", place).alias("pivot"), F.min_by("n", place).alias("pivot_n"),
+        F.min_by("component", place).alias("pivot_component"),
+    )
+    return (
+        members.join(written(pivots, "pivots"), "band")
+        .where((F.col("component") != F.col("pivot_component")) & _close_sizes(F.col("n"), F.col("pivot_n"), percent))
+        .select(*_ordered(F.col("rep"), F.col("pivot"))).distinct()
     )
-    right = rest.withColumn("other", every).select(
-        "band", F.col("other").alias("i"), F.col("block").alias("j"),
-        F.col("rep").alias("b"), F.col("n").alias("n_b"), F.col("component").alias("of_b"),
+
+
+def _all_pairs(members: DataFrame, percent: int) -> DataFrame:
+    """All pairs of one bucket from different groups that may be links.
+
+    A bucket is cut into blocks of about a thousand members; each pair of blocks
+    is compared in one task, whatever the bucket's size, and only what the
+    exact bounds leave is given out.
+    """
+    blocks = F.ceil(F.col("n_members") / _BUCKET_BLOCK).cast("int")
+    members = members.withColumn("block", F.pmod(F.xxhash64("rep"), blocks).cast("int"))
+    members = members.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    placed = members.select(
+        "band", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"),
+        "block", "rep", "n", "component", "bits",
     )
     return (
-        left.join(right, ["band", "i", "j"])
-        .where((F.col("a") > F.col("b")) & (F.col("of_a") != F.col("of_b")))
-        .where(_close_sizes(F.col("n_a"), F.col("n_b"), percent))
-        .select("a", "b").distinct()
-        .join(done, ["a", "b"], "left_anti")
+        placed.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j")
+        .mapInArrow(partial(_compared, percent=percent), "a long, b long").distinct()
     )
 
 
