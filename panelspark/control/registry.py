@@ -15,8 +15,8 @@ from panelspark.sources.files import artifact_files
 # Report names per layer, in order of preference for Bronze.
 BRONZE_REPORTS = ["quality_report.json", "manifest.jsonl"]
 SILVER_REPORTS = ["quality_report.json"]
-GOLD_REPORTS = ["gold_report.json", "error_report.json", "panel_report.json"]
-RATE_FIELDS = ("match_rate", "market_match_rate")
+GOLD_REPORTS = ["gold_report.json", "error_report.json"]
+RATE_FIELDS = ("match_rate",)
 
 _BATCH = r"^((?:.*/)?(?:bronze|silver)/[^/]+/ingestion_date=[^/]+/batch_id=[^/]+)(?:/.*)?$"
 _LAYER = r"(?:^|/)(bronze|silver|gold)/([^/]+)/"
@@ -36,7 +36,7 @@ def _ancestors(path: Column) -> Column:
     ).otherwise(F.array().cast("array<string>"))
 
 
-def discover_artifacts(files: DataFrame) -> DataFrame:
+def discover_artifacts(files: DataFrame, gold_reports: Sequence[str] = GOLD_REPORTS) -> DataFrame:
     """(layer, dataset, artifact_path, report_path) from (path, bytes).
 
     A Bronze artifact is a batch folder, with the best report found in or
@@ -68,7 +68,7 @@ def discover_artifacts(files: DataFrame) -> DataFrame:
     )
     folders = named.where(
         ((F.col("layer") == "silver") & F.col("name").isin(SILVER_REPORTS) & (batch != ""))
-        | ((F.col("layer") == "gold") & F.col("name").isin(GOLD_REPORTS))
+        | ((F.col("layer") == "gold") & F.col("name").isin(*gold_reports))
     ).select("layer", "dataset", _directory(F.col("path")).alias("artifact_path"),
              F.col("path").alias("report_path"))
     return bronze.unionByName(folders)
@@ -102,6 +102,7 @@ def build_registry(
     reports: DataFrame,
     minimum_match_rate: float = 0.99,
     rate_fields: Sequence[str] = RATE_FIELDS,
+    gold_reports: Sequence[str] = GOLD_REPORTS,
 ) -> DataFrame:
     """One row per artifact with its checks and status.
 
@@ -110,7 +111,7 @@ def build_registry(
     """
     if not 0 <= minimum_match_rate <= 1:
         raise ValueError("the minimum match rate lies between 0 and 1")
-    artifacts = discover_artifacts(files)
+    artifacts = discover_artifacts(files, gold_reports)
     joined = (
         artifacts.join(
             reports.select(F.col("path").alias("report_path"), "document"), "report_path", "left"
@@ -193,13 +194,10 @@ def write_registry(registry: DataFrame, path: str) -> None:
 def observed_columns(spark: SparkSession, artifacts: DataFrame, root: str = "") -> DataFrame:
     """(artifact_path, observed): column names of each Parquet artifact.
 
-    Reads file footers only. The loop is over artifacts of the control plane
-    and refuses a list longer than a registry can be.
+    Reads file footers only, one artifact after the other: the control plane
+    has a row for each artifact, not for each file.
     """
-    limit = 10_000
-    paths = [r[0] for r in artifacts.select("artifact_path").distinct().limit(limit + 1).collect()]
-    if len(paths) > limit:
-        raise ValueError(f"more than {limit} artifacts in one schema check")
+    paths = [r[0] for r in artifacts.select("artifact_path").distinct().toLocalIterator()]
     rows = []
     for path in paths:
         reader = spark.read.option("pathGlobFilter", "part-*.parquet")

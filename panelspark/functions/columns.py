@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -136,7 +134,3 @@ def flag_above(value: Column | str, limit: float, fill: float | None = None) ->
 def known_at(run: Column | str, valid: Column | str) -> Column:
     """Availability proxy: the run started no later than the hour it predicts."""
     return _c(run) <= _c(valid)
-
-
-def one_of(value: Column | str, allowed: Iterable[str]) -> Column:
-    return _c(value).isin(*allowed)

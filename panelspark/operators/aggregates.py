@@ -11,10 +11,10 @@ from panelspark.constants import VARIABLE_LABELS, WEATHER_ERRORS, WEATHER_VARIAB
 from panelspark.operators.guards import duplicate_key_count
 from panelspark.operators.quantiles import (
     average_ranks,
+    bucketed,
     exact_quantiles,
     global_quantiles,
     group_median,
-    value_bucket,
 )
 from panelspark.session import materialize
 
@@ -314,6 +314,8 @@ def silver_report(long: DataFrame) -> dict:
     return {
         **silver_counters(long).first().asDict(),
         "duplicate_key_count": duplicates["duplicate_key_count"],
+        # the name that the contract of this dataset reads; here the whole batch counts
+        "duplicate_key_count_within_chunks": duplicates["duplicate_key_count"],
         "unknown_column_count": len(names),
         "unknown_columns": names,
     }
@@ -363,20 +365,17 @@ def spearman_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
         for i in range(len(columns))
         for j in range(i, len(columns))
     ]
-    joint = (
+    joint = materialize(
         df.select(F.explode(F.array(*pairs)).alias("p"))
         .select("p.*")
         .where(F.col("x").isNotNull() & F.col("y").isNotNull())
         .groupBy("i", "j", "x", "y")
-        .agg(F.count(F.lit(1)).alias("c"))
+        .agg(F.count(F.lit(1)).alias("c")),
+        "value-pairs",
     )
     ranked = joint
     for axis in ("x", "y"):
-        hist = (
-            joint.groupBy("i", "j", F.col(axis).alias("_v"))
-            .agg(F.sum("c").alias("_c"))
-            .withColumn("_b", value_bucket(F.col("_v")))
-        )
+        hist = bucketed(joint.groupBy("i", "j", F.col(axis).alias("_v")).agg(F.sum("c").alias("_c")), ["i", "j"])
         ranks = average_ranks(hist, ["i", "j"]).select(
             "i", "j", F.col("_v").alias(axis), F.col("rank").alias(f"r{axis}")
         )

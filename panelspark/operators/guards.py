@@ -56,17 +56,6 @@ def check_cardinality(
         refuse_duplicates(left, keys, "left side")
 
 
-def single_value(value: str, what: Sequence[str]) -> Column:
-    """An aggregate for a pivot cell: the value, or an error if there are several."""
-    return F.when(F.count(F.lit(1)) > 1, _raise_double("duplicate key in pivot")).otherwise(
-        F.max(value)
-    )
-
-
-def _raise_double(message: str) -> Column:
-    return F.raise_error(F.lit(message)).cast("double")
-
-
 def equal_length(first: Column, second: Column, label: Column) -> Column:
     """``first`` when both arrays have one length, else a runtime error.
 

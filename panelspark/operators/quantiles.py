@@ -1,39 +1,42 @@
 """Exact order statistics without pulling a group into one task.
 
-Two levels: values are first collapsed to a histogram (value, count), then
-assigned to a bucket by a monotone function of the value. The bucket totals of
-a group are few (their number depends on the value range and not on the row
-count), so a running sum over them is cheap; it tells which bucket holds each
-wanted rank. Only those buckets are then ordered, each in its own task.
+Two levels: values are first collapsed to a histogram (value, count), which is
+range-partitioned by group and value and written. The partitions are the buckets, so
+their limits follow the data, however narrow, tiny or heavy-tailed the values are,
+and a hot group spans many of them. A running sum over the bucket totals of a
+group tells which bucket holds each wanted rank; only those buckets are
+then ordered, each in its own task.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-BUCKETS_PER_E_FOLD = 1024
-SMALLEST_SCALE = 1e-6
+from panelspark.session import materialize
 
 
-def value_bucket(value: Column) -> Column:
-    """A bucket number that never decreases as the value grows."""
-    size = F.log1p(F.abs(value) / F.lit(SMALLEST_SCALE)) * F.lit(float(BUCKETS_PER_E_FOLD))
-    return F.floor(F.signum(value) * size).cast("bigint")
+def bucketed(hist: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Adds ``_b``: a bucket number that never decreases with the value in a group.
+
+    The histogram is written, so what it was made from is evaluated once.
+    """
+    ranged = hist.repartitionByRange(*keys, "_v").withColumn("_b", F.spark_partition_id())
+    return materialize(ranged, "histogram")
 
 
 def histogram(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     """(keys, _v, _c): distinct non-null values and how often they occur."""
-    return (
+    counted = (
         df.select(*keys, F.col(value).cast("double").alias("_v"))
         .where(F.col("_v").isNotNull() & ~F.isnan("_v"))
         .groupBy(*keys, "_v")
         .agg(F.count(F.lit(1)).alias("_c"))
-        .withColumn("_b", value_bucket(F.col("_v")))
     )
+    return bucketed(counted, keys)
 
 
 def _bucket_offsets(hist: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -50,13 +53,6 @@ def _bucket_offsets(hist: DataFrame, keys: Sequence[str]) -> DataFrame:
     )
 
 
-def _same_keys(left: DataFrame, right: DataFrame, names: Sequence[str]) -> Column:
-    condition = F.lit(True)
-    for name in names:
-        condition = condition & left[name].eqNullSafe(right[name])
-    return condition
-
-
 def exact_quantiles(
     df: DataFrame, keys: Sequence[str], value: str, probabilities: Sequence[float]
 ) -> DataFrame:

@@ -9,9 +9,8 @@ number of terms, is checked against ``max_terms``.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
-from dataclasses import dataclass, field, replace
+from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
@@ -474,13 +473,3 @@ def coefficient_frame(spark, fit: Fit) -> DataFrame:
     """The coefficient table (k rows) as a DataFrame."""
     rows = [tuple(r.values()) for r in fit.table()]
     return spark.createDataFrame(rows, TABLE_SCHEMA)
-
-
-def without_term(model: Model, target: str) -> Model:
-    if target not in model.numeric:
-        raise ValueError(f"{target} is not a numeric term of the model")
-    return replace(model, numeric=tuple(t for t in model.numeric if t != target))
-
-
-def is_finite(value: float | None) -> bool:
-    return value is not None and math.isfinite(value)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -55,15 +55,18 @@ def pivot_metrics(
     metric: str = "metric",
     value: str = "value",
     how: str = "mean",
+    every_key: bool = False,
 ) -> DataFrame:
     """Long to wide over a fixed metric list, so every column always exists.
 
     ``mean`` averages repeated observations. ``strict`` refuses them: a
-    repeated (key, metric) is a data error there and raises while running.
+    repeated (key, metric) is a data error there and raises while running. Keys
+    without any metric of the list have no row, unless ``every_key`` asks for
+    them, with nulls (then unlisted metrics must not repeat either).
     """
     keep = df.where(F.col(metric).isin(*metrics))
     if how == "strict":
-        counted = keep.groupBy(*keys, metric).agg(
+        counted = (df if every_key else keep).groupBy(*keys, metric).agg(
             F.count(F.lit(1)).alias("_n"), F.max(value).alias("_value")
         )
         checked = F.when(
@@ -86,10 +89,6 @@ def pivot_metrics(
     raise DataQualityError(f"unknown pivot rule: {how}")
 
 
-def rename_and_order(df: DataFrame, names: Mapping[str, str], order: Sequence[str]) -> DataFrame:
-    return df.withColumnsRenamed(dict(names)).select(*order)
-
-
 def union_sources(frames: Sequence[DataFrame]) -> DataFrame:
     """Union by name; columns a source lacks become null."""
     if not frames:

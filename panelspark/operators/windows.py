@@ -82,6 +82,7 @@ def resolution_minutes(df: DataFrame, keys: Sequence[str], time: str) -> DataFra
     steps = time_steps(df, keys, time).withColumn(
         "_step", F.timestamp_diff("MICROSECOND", F.col("previous"), F.col(time)) / F.lit(1e6)
     )
+    steps = materialize(steps.select(*keys, "_step"), "time-steps")
     medians = group_median(steps, keys, "_step", "_median")
     present = steps.select(*keys).distinct()
     return present.join(medians, list(keys), "left").select(

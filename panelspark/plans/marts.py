@@ -14,6 +14,7 @@ from panelspark.operators.guards import refuse_duplicates, require_columns
 from panelspark.operators.joins import left_join_indicator, left_join_marked, require_mapped
 from panelspark.operators.reshape import map_dimensions, melt, pivot_metrics
 from panelspark.operators.windows import price_dynamics, resolution_minutes
+from panelspark.session import materialize
 
 
 def silver_long(
@@ -117,7 +118,7 @@ def energy_research(
         missing = sorted(set(K.RESEARCH_METRICS) - present)
         if missing:
             raise ValueError(f"region {region} lacks required metrics: {missing}")
-    wide = pivot_metrics(rows, ["event_time_utc"], K.RESEARCH_METRICS, how="strict")
+    wide = pivot_metrics(rows, ["event_time_utc"], K.RESEARCH_METRICS, how="strict", every_key=True)
     wide = wide.withColumnsRenamed({**ENERGY_NAMES, K.WIND: "wind_generation_mw"})
     return _energy_derivations(wide).select(
         "event_time_utc",
@@ -144,7 +145,7 @@ def multi_zone_panel(long: DataFrame, zones: Sequence[str], batch_id: str) -> Da
         "region", "metric", "event_time_utc", "value"
     )
     metrics = [*K.COMMON_METRICS, K.WIND, K.WIND_ONSHORE]
-    wide = pivot_metrics(rows, ["region", "event_time_utc"], metrics, how="strict")
+    wide = pivot_metrics(rows, ["region", "event_time_utc"], metrics, how="strict", every_key=True)
     # at most one row per requested zone
     sources = F.broadcast(zone_wind_source(rows))
     wide = wide.join(sources, "region").withColumnsRenamed(ENERGY_NAMES)
@@ -290,7 +291,9 @@ MARKET_RESULT_COLUMNS = [
 ]
 
 
-def _impact_columns(panel: DataFrame, extra: Sequence[str]) -> DataFrame:
+def _impact_columns(
+    panel: DataFrame, extra: Sequence[str], market_batch_id: str | None, weather_batch_id: str | None
+) -> DataFrame:
     return panel.select(
         "forecast_run_utc",
         "valid_time_utc",
@@ -302,6 +305,8 @@ def _impact_columns(panel: DataFrame, extra: Sequence[str]) -> DataFrame:
         *extra,
         *K.WEATHER_ERRORS,
         *MARKET_RESULT_COLUMNS,
+        F.lit(market_batch_id).cast("string").alias("market_batch_id"),
+        F.lit(weather_batch_id).cast("string").alias("weather_batch_id"),
         F.date_format("forecast_run_utc", "yyyy-MM-dd").alias("run_date"),
         F.year("valid_time_utc").cast("smallint").alias("valid_year"),
         F.month("valid_time_utc").cast("tinyint").alias("valid_month"),
@@ -311,6 +316,7 @@ def _impact_columns(panel: DataFrame, extra: Sequence[str]) -> DataFrame:
 def forecast_impact(
     market: DataFrame, errors: DataFrame, bzn: str, complete_from: int = 2,
     window: int = 24, minimum: int = 12,
+    market_batch_id: str | None = None, weather_batch_id: str | None = None,
 ) -> DataFrame:
     """Weather errors averaged over all points against one zone's market."""
     hourly = market_hourly(
@@ -321,12 +327,15 @@ def forecast_impact(
     joined = left_join_marked(
         weather, hourly, ["valid_time_utc"], "market_match_flag", cardinality=None
     )
-    return _impact_columns(joined.withColumn("bzn", F.lit(bzn)), ["bzn"])
+    return _impact_columns(
+        joined.withColumn("bzn", F.lit(bzn)), ["bzn"], market_batch_id, weather_batch_id
+    )
 
 
 def multi_zone_forecast_impact(
     market: DataFrame, errors: DataFrame, zone_map: DataFrame,
     window: int = 24, minimum: int = 12, check: bool = True,
+    market_batch_id: str | None = None, weather_batch_id: str | None = None,
 ) -> DataFrame:
     """Each zone's market against the errors of its own weather point.
 
@@ -342,13 +351,14 @@ def multi_zone_forecast_impact(
     joined = left_join_marked(
         zoned, hourly, ["bzn", "valid_time_utc"], "market_match_flag", cardinality=None
     )
-    return _impact_columns(joined, ["bzn", "weather_location"])
+    return _impact_columns(joined, ["bzn", "weather_location"], market_batch_id, weather_batch_id)
 
 
 def market_silver(rows: DataFrame) -> DataFrame:
     """Market rows with the native resolution of their series attached."""
     series = ["batch_id", "bzn", "metric", "series_type"]
-    steps = resolution_minutes(rows, series, "event_time_utc")
+    # one row per series, written: Catalyst sees its size before it plans the join
+    steps = materialize(resolution_minutes(rows, series, "event_time_utc"), "series-resolution")
     with_step = rows.join(steps, series, "left")
     return with_step.withColumns(
         {

@@ -148,7 +148,7 @@ def lake_inputs(spark, sf_dir):
 )
 def lake_registry(spark, sf_dir):
     _, listed, reports = lake_inputs(spark, sf_dir)
-    return R.build_registry(listed, reports)
+    return R.build_registry(listed, reports, rate_fields=("match_rate", "market_match_rate"))
 
 
 def event_reports(spark, sf_dir):
@@ -156,7 +156,7 @@ def event_reports(spark, sf_dir):
     value = F.col("value").cast("string")
     text = F.concat(
         F.lit('{"props": '), "props", F.lit(', "parts": [{"count": '), value,
-        F.lit('}, {"count": 1}], "empty": []}'),
+        F.lit('}, {"count": 1}], "empty": [], "a": {"b": [{"c": {"d": '), value, F.lit('}}]}}'),
     )
     return X.table(spark, sf_dir, "events").select(
         "event_id", "value", "event_type", F.parse_json(text).alias("document")
@@ -168,11 +168,12 @@ def event_reports(spark, sf_dir):
     "event_id i, path s, value d",
     """SELECT event_id, 'props.k' AS path, CAST(json_extract(props, '$.k') AS DOUBLE) AS value FROM events
        UNION ALL SELECT event_id, 'parts.*.count', value FROM events
-       UNION ALL SELECT event_id, 'parts.*.count', 1.0 FROM events""",
+       UNION ALL SELECT event_id, 'parts.*.count', 1.0 FROM events
+       UNION ALL SELECT event_id, 'a.b.*.c.d', value FROM events""",
 )
 def report_paths(spark, sf_dir):
     """Leaf numbers of every report; objects and lists are left out."""
-    nodes = Q.report_paths(event_reports(spark, sf_dir), "event_id")
+    nodes = Q.report_paths(event_reports(spark, sf_dir), "event_id", 5)
     number = F.try_variant_get("value", "$", "double")
     return nodes.select("event_id", "path", number.alias("value")).where("value IS NOT NULL")
 
@@ -206,7 +207,7 @@ def contract_rules(spark, sf_dir):
         ]
     )
     rules = reports.select("event_id", F.explode(rule_rows).alias("r")).select("event_id", "r.*")
-    checked = Q.check_rules(Q.report_paths(reports, "event_id"), rules, "event_id")
+    checked = Q.check_rules(Q.report_paths(reports, "event_id", Q.rule_depth(rules)), rules, "event_id")
     # the decimal text of a double differs between engines, so it is not compared
     shown = F.when((F.col("rule_id") == 1) & ~F.col("passed"), F.lit("shown below"))
     return checked.withColumn("message", F.coalesce(shown, "message"))
@@ -230,7 +231,7 @@ def event_registry(spark, sf_dir):
             )
         ).alias("document"),
     )
-    names = Q.CONTRACTS["gold/energy_research"]["columns"].split()
+    names = Q.CONTRACTS["gold/energy_research"]["columns"]
     observed = F.when(
         F.col("user_id") % 2 == 0, F.array(*[F.lit(n) for n in names])
     ).otherwise(F.array(*[F.lit(n) for n in names[1:]]))

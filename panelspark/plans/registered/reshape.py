@@ -313,6 +313,21 @@ def pivot_strict(spark, sf_dir):
     )
 
 
+@query(
+    "pivot_every_hour",
+    "region s, event_time_utc t, " + ", ".join(f"{m} d" for m in _STRICT),
+    "SELECT region, event_time_utc, "
+    + ", ".join(f"max(CASE WHEN metric = '{m}' THEN value END) AS {m}" for m in _STRICT)
+    + " FROM research GROUP BY ALL",
+    "research",
+)
+def pivot_every_hour(spark, sf_dir):
+    """Hours that hold other metrics only stay, with nulls."""
+    return reshape.pivot_metrics(
+        X.research_long(spark, sf_dir), ["region", "event_time_utc"], _STRICT, how="strict", every_key=True
+    )
+
+
 @query(
     "zone_location_map",
     "bzn s, location s, rows i",

@@ -616,9 +616,60 @@ def stream_silver(spark, sf_dir):
     silver = scratch_path(spark, "stream-silver")
     done = stream_bronze_to_silver(
         spark, f"{landing}/*", silver, scratch_path(spark, "stream-checkpoint"), schema,
-        delay="3650 days",
     )
     done.awaitTermination()
     return read_silver(spark, silver).groupBy("bzn", "metric").agg(
         F.count(F.lit(1)).alias("rows"), F.sum("value").alias("total")
     )
+
+
+@query(
+    "stream_late_keys",
+    "bzn s, metric s, rows i, total d3",
+    """SELECT bzn, metric, count(*) AS rows, sum(value) AS total FROM (
+         SELECT DISTINCT bzn, metric, event_time_utc, value FROM market) GROUP BY ALL""",
+    "market",
+)
+def stream_late_keys(spark, sf_dir):
+    """The later half lands first; the earlier half and repeats come in a second run."""
+    landing, silver = scratch_path(spark, "landing"), scratch_path(spark, "stream-silver")
+    checkpoint = scratch_path(spark, "stream-checkpoint")
+    rows = X.market_observations(spark, sf_dir).withColumn(
+        "event_time_utc", F.col("event_time_utc").cast("timestamp")
+    )
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema)
+    middle = rows.agg(F.expr("timestamp_micros((unix_micros(min(event_time_utc)) + unix_micros(max(event_time_utc))) div 2)")).first()[0]
+    for delivery in (rows.where(F.col("event_time_utc") >= F.lit(middle)), rows):
+        delivery.write.mode("append").parquet(landing)
+        stream_bronze_to_silver(spark, landing, silver, checkpoint, schema).awaitTermination()
+    return read_silver(spark, silver).groupBy("bzn", "metric").agg(
+        F.count(F.lit(1)).alias("rows"), F.sum("value").alias("total")
+    )
+
+
+@query(
+    "payload_quarantine",
+    "event_type s, problem s",
+    """SELECT event_type, CASE event_type WHEN 'click' THEN 'not JSON' WHEN 'error' THEN concat('API error: ', count(*))
+         WHEN 'purchase' THEN '/price response has no price' ELSE 'not a JSON object' END AS problem
+       FROM events WHERE event_type <> 'view' GROUP BY event_type""",
+)
+def payload_quarantine(spark, sf_dir):
+    """One document per file: a good one, a cut one, an error, one without its key, a list."""
+    landing = scratch_path(spark, "landing")
+    n, low, high = (F.col(c).cast("string") for c in ("n", "low", "high"))
+    good = F.concat(F.lit('{"unix_seconds": [1, 2], "price": ['), low, F.lit(", "), high, F.lit("]}"))
+    kind = F.col("event_type")
+    body = (
+        F.when(kind == "view", good)
+        .when(kind == "click", F.substring(good, 1, 30))
+        .when(kind == "error", F.concat(F.lit('{"error": "'), n, F.lit('"}')))
+        .when(kind == "purchase", F.lit('{"unix_seconds": [1]}'))
+        .otherwise(F.concat(F.lit("["), n, F.lit("]")))
+    )
+    sums = X.table(spark, sf_dir, "events").groupBy("event_type").agg(
+        F.count(F.lit(1)).alias("n"), F.min("value").alias("low"), F.max("value").alias("high")
+    )
+    sums.select("event_type", body.alias("value")).write.partitionBy("event_type").text(landing)
+    refused = payloads.quarantined(spark, landing, F.lit("/price"))
+    return refused.select(F.regexp_extract("path", "event_type=([^/]+)", 1).alias("event_type"), "problem")

@@ -41,13 +41,47 @@ def read_documents(
     spark: SparkSession, path: str, schema: str, base: str | None = None,
     one_per_file: bool = True, pattern: str | None = None,
 ) -> DataFrame:
-    """JSON documents under ``path``; path keys below ``base`` become columns."""
-    reader = spark.read.schema(schema).option("multiLine", str(one_per_file).lower())
+    """JSON documents under ``path``; path keys below ``base`` become columns.
+
+    A document that is cut, no object, or holds an error stops the read: a
+    delivery is never lost in silence. ``quarantined`` lists such documents
+    without stopping.
+    """
+    reader = spark.read.schema(f"{schema}, {_JUDGED}").option("multiLine", str(one_per_file).lower())
+    reader = reader.option("columnNameOfCorruptRecord", "_broken")
     if base:
         reader = reader.option("basePath", base)
     if pattern:
         reader = reader.option("pathGlobFilter", pattern)
-    return reader.json(path)
+    documents = reader.json(path)
+    where = F.concat(F.lit("unusable payload in "), F.col("_metadata.file_path"), F.lit(": "))
+    reported = F.col("error").isNotNull() & ~F.lower("error").isin("", "false", "0", "null")
+    guard = (
+        F.when(F.col("_broken").isNotNull(), F.raise_error(F.concat(where, F.lit("not a JSON object"))))
+        .when(reported, F.raise_error(F.concat(where, F.lit("error "), F.col("error"))))
+        .cast("string")
+    )
+    # the guard sits on a required column, so no projection can prune it away
+    first = documents.columns[0]
+    checked = F.when(guard.isNull(), F.col(first))
+    return documents.withColumn(first, checked).drop("_broken", "error")
+
+
+_JUDGED = "error string, _broken string"
+
+
+def quarantined(spark: SparkSession, path: str, endpoint: Column, base: str | None = None) -> DataFrame:
+    """(path, endpoint, problem) of the files, one document each, that a reader refuses."""
+    reader = spark.read.option("recursiveFileLookup", "true")
+    texts = reader.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("body"))
+    _, refused = split_payloads(texts.withColumn("endpoint", endpoint))
+    return refused.select("path", "endpoint", "problem")
+
+
+def required(column: str) -> Column:
+    """A field that a payload must have; its absence stops the read."""
+    absent = F.raise_error(F.lit(f"a payload has no {column}"))
+    return F.coalesce(F.col(column), absent)
 
 
 def zip_rows(df: DataFrame, arrays: dict[str, Column], keep: list[str | Column]) -> DataFrame:
@@ -73,7 +107,7 @@ def _hourly_schema(fields: dict[str, str]) -> str:
 def _hourly_rows(df: DataFrame, fields: dict[str, str], time: str, keep: list) -> DataFrame:
     arrays = {time: F.col("hourly.time")}
     arrays.update({column: F.col(f"hourly.{name}") for name, column in fields.items()})
-    rows = zip_rows(df.where(F.col("hourly.time").isNotNull()), arrays, keep)
+    rows = zip_rows(df, {**arrays, time: required("hourly.time")}, keep)
     typed = {column: to_double(column) for column in fields.values()}
     return rows.withColumns({time: to_timestamp(time), **typed})
 
@@ -166,7 +200,7 @@ def _market_rows(
         "bzn",
         "batch_id",
     ]
-    arrays = {"source_timestamp_s": F.col("unix_seconds"), "value": values}
+    arrays = {"source_timestamp_s": required("unix_seconds"), "value": values}
     rows = zip_rows(documents, arrays, keep)
     return rows.withColumns(
         {
@@ -184,7 +218,7 @@ def read_prices(
 ) -> DataFrame:
     documents = read_documents(spark, path, PRICE_SCHEMA + _PATH_KEYS, base, one_per_file)
     return _market_rows(
-        documents, F.col("price"), F.lit("price_day_ahead"), "market_outcome",
+        documents, required("price"), F.lit("price_day_ahead"), "market_outcome",
         F.coalesce("unit", F.lit("EUR / MWh")), F.lit(None), F.lit(None), "/price",
     )
 
@@ -195,7 +229,7 @@ def read_public_power(
     """One array of series sharing the time array; first exploded by series."""
     documents = read_documents(spark, path, POWER_SCHEMA + _PATH_KEYS, base, one_per_file)
     series = documents.select(
-        "unix_seconds", "country", "bzn", "batch_id", F.explode("production_types").alias("s")
+        "unix_seconds", "country", "bzn", "batch_id", F.explode(required("production_types")).alias("s")
     )
     return _market_rows(
         series, F.col("s.data"), normalized_name("s.name", "actual_"), "actual",
@@ -208,7 +242,7 @@ def read_power_forecasts(
 ) -> DataFrame:
     documents = read_documents(spark, path, FORECAST_SCHEMA + _PATH_KEYS, base, one_per_file)
     return _market_rows(
-        documents, F.col("forecast_values"), normalized_name("production_type", "forecast_"),
+        documents, required("forecast_values"), normalized_name("production_type", "forecast_"),
         "forecast", F.lit("MW"), F.col("production_type"), F.col("forecast_type"),
         "/public_power_forecast",
     )

@@ -7,11 +7,11 @@ contract but reads only the files that are new since the last run.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 SILVER_KEY = ["bzn", "metric", "event_time_utc"]
-# keeps the de-duplication state on disk, so a long delay needs no heap
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def bronze_stream(spark: SparkSession, path: str, schema: str, files_per_batch: int = 1000) -> DataFrame:
@@ -20,32 +20,56 @@ def bronze_stream(spark: SparkSession, path: str, schema: str, files_per_batch:
     )
 
 
-def first_observations(stream: DataFrame, delay: str = "2 days") -> DataFrame:
-    """Drops repeats of a Silver key that arrive within ``delay``.
+def one_per_key(batch: DataFrame) -> DataFrame:
+    """One row for each Silver key: of several the smallest, so a retry gives the same."""
+    rest = [c for c in batch.columns if c not in SILVER_KEY]
+    picked = batch.groupBy(*SILVER_KEY).agg(F.min(F.struct(*rest)).alias("_rest"))
+    return picked.select(*SILVER_KEY, "_rest.*").select(*batch.columns)
 
-    The state is bounded by the watermark: a key is forgotten once no accepted
-    row can carry it any more.
+
+def new_keys(batch: DataFrame, silver: str, number: int) -> DataFrame:
+    """Rows whose key no earlier delivery holds, however old the key is.
+
+    Only the Silver partitions (zone and month) that the batch touches are read.
     """
-    return stream.withWatermark("event_time_utc", delay).dropDuplicatesWithinWatermark(SILVER_KEY)
+    spark = batch.sparkSession
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(silver)
+    storage = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not storage.exists(path):
+        return batch
+    earlier = spark.read.schema(_stored(batch)).option("basePath", silver).parquet(silver)
+    touched = batch.select("bzn", _month()).distinct()
+    earlier = earlier.where(F.col("delivery") < number).join(touched, ["bzn", "event_month"], "left_semi")
+    return batch.join(earlier.select(*SILVER_KEY), SILVER_KEY, "left_anti")
+
+
+def _month():
+    return F.date_format("event_time_utc", "yyyy-MM").alias("event_month")
+
+
+def _stored(batch: DataFrame) -> T.StructType:
+    keys = [T.StructField("delivery", T.LongType()), T.StructField("event_month", T.StringType())]
+    return T.StructType([*batch.schema.fields, *keys])
 
 
 def stream_bronze_to_silver(
-    spark: SparkSession, bronze: str, silver: str, checkpoint: str, schema: str,
-    delay: str = "2 days",
+    spark: SparkSession, bronze: str, silver: str, checkpoint: str, schema: str
 ) -> StreamingQuery:
-    """Process every file that is new, append it to Silver and stop.
+    """Process every file that is new, append its new Silver keys and stop.
 
-    A micro-batch is written under its batch number and overwrites that
-    folder when it is retried, so a restart does not append twice.
+    A key is kept once, whenever it arrives again; late keys are kept like
+    any other, so nothing is held in state. A micro-batch is written under its
+    number and overwrites that folder when it is retried, so a restart does not
+    append twice.
     """
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
-    rows = first_observations(bronze_stream(spark, bronze, schema), delay)
 
     def append(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").partitionBy("bzn").parquet(f"{silver}/delivery={number}")
+        fresh = new_keys(one_per_key(batch), silver, number).withColumn("event_month", _month())
+        fresh.write.mode("overwrite").partitionBy("bzn", "event_month").parquet(f"{silver}/delivery={number}")
 
     return (
-        rows.writeStream.foreachBatch(append)
+        bronze_stream(spark, bronze, schema)
+        .writeStream.foreachBatch(append)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
@@ -53,6 +77,5 @@ def stream_bronze_to_silver(
 
 
 def read_silver(spark: SparkSession, silver: str) -> DataFrame:
-    return spark.read.option("basePath", silver).parquet(f"{silver}/delivery=*").drop("delivery")
-
-
+    stored = spark.read.option("basePath", silver).parquet(f"{silver}/delivery=*")
+    return stored.drop("delivery", "event_month")

@@ -17,7 +17,7 @@ def rule_results(spark, report, rules):
         [("r", i, p, o, float(v), str(v)) for i, (p, o, v) in enumerate(rules)],
         "artifact_path string, rule_id int, path string, op string, expected double, shown string",
     )
-    checked = Q.check_rules(Q.report_paths(reports, "artifact_path"), asked, "artifact_path")
+    checked = Q.check_rules(Q.report_paths(reports, "artifact_path", 4), asked, "artifact_path")
     return {r.rule_id: (r.passed, r.message) for r in checked.collect()}
 
 
@@ -93,7 +93,8 @@ def test_registry(spark, folder):
         ("gold/g/batch=1/error_report.json", '{"rows_gold": 9, "match_rate": 0.5, "layer": "gold"}'),
         ("gold/h/p/panel_report.json", "not json"),
     ], "path")
-    registry = R.build_registry(files_frame, reports)
+    registry = R.build_registry(files_frame, reports, gold_reports=[*R.GOLD_REPORTS, "panel_report.json"])
+    assert R.build_registry(files_frame, reports).count() == 6
     got = {r.artifact_path: r for r in registry.collect()}
     assert len(got) == 7
     b = "bronze/a/ingestion_date=1/batch_id="
@@ -129,5 +130,22 @@ def test_lineage_is_text(spark):
     assert (row.lineage_silver_batch, row.lineage_energy_batch, row.lineage_bronze_run) == ("s1", "5", None)
 
 
-def test_report_depth_covers_contracts():
-    assert max(len(p.split(".")) for c in Q.CONTRACTS.values() for p, _, _ in c["rules"]) <= Q.MAX_REPORT_DEPTH
+def test_rules_reach_any_depth(spark):
+    registry = spark.createDataFrame(
+        [("gold", "deep", "b", "x", "COMPLETE")], "layer string, dataset string, batch_id string, artifact_path string, status string"
+    )
+    reports = documents(spark, [("x", '{"a": {"b": {"c": {"d": {"e": 0}}}}}')])
+    columns = spark.createDataFrame([("x", ["k"])], "artifact_path string, observed array<string>")
+    contracts = {"gold/deep": {"columns": ["k"], "rules": [("a.b.c.d.e", "eq", 0)]}}
+    found = Q.validate_contracts(
+        registry, reports, columns, Q.contract_rules(spark, contracts), Q.contract_columns(spark, contracts)
+    )
+    assert [r.status for r in found.collect()] == ["PASS"]
+
+
+def test_contracts_from_a_file(spark, folder):
+    import json
+
+    with open(f"{folder}/contracts.json", "w") as file:
+        json.dump({"contracts": {"gold/x": {"required_columns": ["a"], "report_rules": [{"path": "n", "op": "ge", "value": 1}]}}}, file)
+    assert Q.read_contracts(spark, f"{folder}/contracts.json") == {"gold/x": {"columns": ["a"], "rules": [("n", "ge", 1)]}}

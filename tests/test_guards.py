@@ -77,3 +77,11 @@ def test_silver_long_drops_and_counts(spark, folder):
     assert observation.get == counters
     report = silver_report(long.unionByName(long))
     assert report["duplicate_key_count"] == 2 and report["unknown_columns"] == ["b"]
+
+
+def test_strict_pivot_keeps_every_key_on_request(spark):
+    rows = [(1, "a", 1.0), (2, "other", 5.0)]
+    df = frame(spark, "t int, metric string, value double", rows)
+    assert [tuple(r) for r in reshape.pivot_metrics(df, ["t"], ["a"], how="strict").collect()] == [(1, 1.0)]
+    kept = reshape.pivot_metrics(df, ["t"], ["a"], how="strict", every_key=True).orderBy("t").collect()
+    assert [tuple(r) for r in kept] == [(1, 1.0), (2, None)]

@@ -86,3 +86,22 @@ def test_quantile_bins_match_pandas(spark):
     assert got.rows.tolist() == want.rows.tolist()
     np.testing.assert_allclose(got.x, want.x)
     np.testing.assert_allclose(got.y_mean, want.y)
+
+
+@pytest.mark.parametrize("scale", ["narrow", "tiny", "heavy"])
+def test_buckets_follow_the_data(spark, scale):
+    rng = np.random.default_rng(3)
+    data = {
+        "narrow": rng.normal(50_000, 0.001, 4000), "tiny": rng.random(4000) * 1e-12, "heavy": np.exp(rng.normal(0, 20, 4000)),
+    }[scale]
+    frame = spark.createDataFrame(pd.DataFrame({"v": data}))
+    hist = histogram(frame.repartition(4), [], "v")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        sizes = histogram(frame, [], "v").groupBy("_b").count().toPandas()["count"]
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert len(sizes) == 4 and sizes.max() < 0.5 * len(data)
+    assert hist.count() == len(np.unique(data))
+    found = global_quantiles(frame, "v", [0.1, 0.5, 0.99])
+    assert found == pytest.approx(list(np.quantile(data, [0.1, 0.5, 0.99])), rel=1e-12)

@@ -189,3 +189,16 @@ def test_write_once_and_checked(spark, folder):
     assert os.path.exists(f"{folder}/once/_SUCCESS")
     sinks.write_metrics(frame, f"{folder}/metrics")
     assert spark.read.parquet(f"{folder}/metrics/parquet").count() == 10
+
+
+def test_broken_payloads_stop_the_read_and_are_listed(spark, folder):
+    good = '{"hourly": {"time": ["2024-01-01T00:00"], "temperature_2m": [1]}}'
+    texts = {"good": good, "cut": good[:40], "error": '{"error": true, "reason": "down"}'}
+    for name, text in texts.items():
+        with open(f"{folder}/{name}.json", "w") as file:
+            file.write(text)
+    for bad in ("cut", "error"):
+        with pytest.raises(Exception, match="unusable payload"):
+            payloads.read_weather(spark, f"{folder}/{bad}.json").collect()
+    listed = {r.path.rsplit("/", 1)[1]: r.problem for r in payloads.quarantined(spark, folder, F.lit("/weather")).collect()}
+    assert listed == {"cut.json": "not JSON", "error.json": "API error: true"}

@@ -23,3 +23,11 @@ def test_new_files_are_appended_once(spark, folder):
     later = T0 + dt.timedelta(hours=1)
     deliver(spark, bronze, [("FR", "p", T0, 1.0), ("FR", "p", later, 3.0)])
     assert run() == [("AT", 0, 2.0), ("FR", 0, 1.0), ("FR", 1, 3.0)]
+
+
+def test_late_keys_are_kept(spark, folder):
+    bronze, silver, checkpoint = f"{folder}/bronze", f"{folder}/silver", f"{folder}/checkpoint"
+    for day in (20, 21, 10, 20):
+        deliver(spark, bronze, [("FR", "p", dt.datetime(2024, 1, day), float(day))])
+        stream_bronze_to_silver(spark, bronze, silver, checkpoint, SCHEMA).awaitTermination()
+    assert sorted(r.value for r in read_silver(spark, silver).collect()) == [10.0, 20.0, 21.0]
