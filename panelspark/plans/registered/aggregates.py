@@ -49,8 +49,9 @@ def matched_with_bins(spark, sf_dir):
 
 @query(
     "hourly_mean_pivot",
-    "bzn s, valid_time_utc t, " + ", ".join(f"{m} d" for m in K.MARKET_METRICS[:5]),
-    "SELECT * FROM hourly",
+    "bzn s, valid_time_utc t, " + ", ".join(f"{m} d" for m in K.MARKET_METRICS),
+    # the events hold the first five metrics
+    "SELECT *, " + ", ".join(f"CAST(NULL AS DOUBLE) AS {m}" for m in K.MARKET_METRICS[5:]) + " FROM hourly",
     "hourly",
 )
 def hourly_mean_pivot(spark, sf_dir):

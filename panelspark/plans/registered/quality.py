@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from panelspark.constants import LINEAGE_KEYS
 from panelspark.control import contracts as Q
 from panelspark.control import registry as R
 from panelspark.operators import aggregates as A
@@ -280,10 +281,11 @@ def contract_summary(spark, sf_dir):
 
 @query(
     "lineage_extract",
-    "event_id i, lineage_bronze_batch s, lineage_silver_batch s, lineage_weather_batch s",
+    "event_id i, " + ", ".join(f"lineage_{k} s" for k in LINEAGE_KEYS),
     """SELECT event_id, concat('b', user_id) AS lineage_bronze_batch,
-         CASE WHEN event_type = 'view' THEN 's1' END AS lineage_silver_batch,
-         NULL AS lineage_weather_batch FROM events""",
+         CASE WHEN event_type = 'view' THEN 's1' END AS lineage_silver_batch, """
+    + ", ".join(f"NULL AS lineage_{k}" for k in LINEAGE_KEYS if k not in ("bronze_batch", "silver_batch"))
+    + " FROM events",
 )
 def lineage_extract(spark, sf_dir):
     text = F.concat(
