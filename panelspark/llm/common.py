@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import sys
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -20,11 +21,44 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_records: list[list[str]] = []
+
+
 def written(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
-    """``df`` as a Parquet table in the shared folder: read twice, survives lost executors."""
-    path = scratch_path(df.sparkSession, name)
-    df.write.option("compression", codec).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """``df`` as a Parquet table in the shared folder: read twice, survives lost executors.
+
+    What it was made from is not needed again, so its shuffle files go at once.
+    """
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.option("compression", codec).parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
+    for paths in _records:
+        paths.append(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def recorded() -> Iterator[list[str]]:
+    """The paths of the tables written inside the block."""
+    paths: list[str] = []
+    _records.append(paths)
+    try:
+        yield paths
+    finally:
+        _records.remove(paths)
+
+
+def discard(spark: SparkSession, paths: list[str]) -> None:
+    """Delete tables that nothing reads any more."""
+    for path in paths:
+        place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def named(df: DataFrame, column: str) -> Column:
@@ -69,12 +103,12 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, dtype=np.uint8)[ends[0] : ends[-1]], ends - ends[0]
 
 
-def row_slices(offsets: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
-    """Runs of rows of about ``limit`` bytes; a longer row stands alone, whole."""
+def row_slices(offsets: np.ndarray, limit: int, most: int = 1024) -> Iterator[tuple[int, int]]:
+    """Runs of rows of about ``limit`` bytes and ``most`` rows; a longer row stands alone, whole."""
     first, rows = 0, len(offsets) - 1
     while first < rows:
         last = int(np.searchsorted(offsets, offsets[first] + limit, side="right")) - 1
-        last = min(max(last, first + 1), rows)
+        last = min(max(last, first + 1), first + most, rows)
         yield first, last
         first = last
 

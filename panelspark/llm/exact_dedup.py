@@ -119,6 +119,8 @@ def exact_groups(
     groups = written(groups, "copy-groups")
     same = (recipes.recipe == groups.group_recipe) & recipes.variants.eqNullSafe(groups.group_variants)
     single = F.col("keep_row").isNull()
+    if carry:  # whole rows move once, at every size alike
+        groups = groups.hint("merge")
     return recipes.join(groups, same, "left").select(
         "doc_id",
         F.when(single, F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"),

@@ -279,6 +279,8 @@ def near_groups(
     members = written(members, "class-groups")
     same = (base.set_a == members.class_a) & (base.set_b == members.class_b) & (base.n_shingles == members.class_n)
     empty = F.col("n_shingles") == 0
+    if carry:  # whole rows move once, at every size alike
+        members = members.hint("merge")
     return base.join(members, same, "left").select(
         "doc_id",
         "n_shingles",

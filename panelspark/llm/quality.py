@@ -221,14 +221,17 @@ def judge(
     buckets = counts.column("bucket").to_numpy()
     raw[buckets], target[buckets] = counts.column("raw").to_numpy(), counts.column("target").to_numpy()
     numbers = ", ".join(f"{n} long" for n in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"))
-    schema = extended(marked, "text", f"{numbers}, llr double")
-    measured = marked.mapInArrow(partial(_measured, ratios=log_ratios(raw, target)), schema)
+    measure = partial(_measured, ratios=log_ratios(raw, target))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
-    measured = written(measured.withColumn("base_failed", failed), "quality-measures")
-    known = measured.where("good IS NOT NULL AND NOT base_failed").select("good", "llr").toArrow()
+
+    def measured(rows: DataFrame) -> DataFrame:
+        return rows.mapInArrow(measure, extended(rows, "text", f"{numbers}, llr double")).withColumn("base_failed", failed)
+
+    labelled = picked.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
+    known = measured(labelled).where("NOT base_failed").select("good", "llr").toArrow()
     good, llr = known.column("good").to_numpy(), known.column("llr").to_numpy()
     cut = best_cut(llr[good == 1], llr[good == 0])
-    return measured.drop("good").withColumn("kept", ~F.col("base_failed") & (F.col("llr") >= F.lit(cut)))
+    return measured(picked).withColumn("kept", ~F.col("base_failed") & (F.col("llr") >= F.lit(cut)))
 
 
 def keep_good(df: DataFrame, labels: DataFrame, text_column: str = "text", id_column: str = "doc_id") -> DataFrame:
