@@ -9,7 +9,8 @@ gathered before anything is shuffled: the known table is what is broadcast.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import re
+from collections.abc import Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -31,15 +32,54 @@ EQUIVALENT = (
     ("fulfilment", "fulfillment"),
     ("merchantibility", "merchantability"),
 )
+# the oracle's rule: it takes any line that begins so, and differs from STATEMENT where body text does
 COPYRIGHT_LINE = r"(?m)^[^\p{L}\p{N}\n]*(?:copyright|\(c\)|©|portions copyright|all rights reserved)[^\n]*$"
 KNOWN_AT_MOST = 10_000
+HEAD_WORDS, NOTICE_WORDS = 6, 3
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+_GAP, _MARK = r"[^\p{L}\p{N}\n]*", r"(?:copyright|\(c\)|©|&copy;)"
 
 
-def canonical_lines(text: Column) -> Column:
-    """The text without case, copyright lines and punctuation; its line breaks stay."""
+def _spelled(texts: Iterable[Sequence[str]]) -> str:
+    """A pattern of word sequences with any white space and punctuation between the words."""
+    found = {r"[^\p{L}\p{N}]+".join(w.replace("license", "licen[cs]e") for w in words) for words in texts if words}
+    return "|".join(sorted(found, key=lambda x: (-len(x), x))) or "(?!)"
+
+
+def statement(texts: Sequence[tuple[str, str]] = tuple(TEXTS), notices: Sequence[tuple[str, str]] = tuple(NOTICES)) -> str:
+    """The pattern of copyright statements; its first group is what stands before one.
+
+    A statement begins a line or follows a known title. It is a mark with a year, a
+    placeholder or another mark behind it, or directly precedes a known text; body
+    text that wraps before the word is none. It ends with its line, or where a known
+    text or notice begins, so it may share a line with them.
+    """
+    fold = str.maketrans(_UPPER, _LOWER)
+    words = lambda text: re.findall(r"[^\W_]+", text.translate(fold))
+    titles, heads = [], []
+    for _, text in texts:
+        lines = text.split("\n")
+        at = next((k for k, line in enumerate(lines) if re.match(r"\W*copyright\W+(\(c\)|<|\[|\{|[0-9])", line, re.I)), None)
+        if at is not None:
+            titles.append(words("\n".join(lines[:at])))
+            heads.append(words("\n".join(lines[at + 1 :]))[:HEAD_WORDS])
+    head, title = rf"(?<![\p{{L}}\p{{N}}])(?:{_spelled(heads)})(?![\p{{L}}\p{{N}}])", _spelled(titles)
+    notice = rf"(?<![\p{{L}}\p{{N}}])(?:{_spelled(words(t)[:NOTICE_WORDS] for _, t in notices)})(?![\p{{L}}\p{{N}}])"
+    # to a known text or notice in the line, to a known text in the next if the holder's name wraps, or to the line's end
+    end = rf"(?:[^\n]*?(?={head}|{notice})|[^\n]*\n[^\n.:;]{{1,80}}?{_GAP}(?={head})|[^\n]*)"
+    marked = rf"(?:portions\s+)?{_MARK}(?={_GAP}\n?{_GAP}(?:(?:19|20)[0-9]{{2}}(?![0-9])|{_MARK}|[<\[{{])){end}"
+    bare = rf"(?:portions\s+)?{_MARK}[^\n]{{1,200}}?(?=[^\p{{L}}\p{{N}}]*+{head})"
+    reserved = rf"all\s+rights\s+reserved(?:{_GAP}$|[^\p{{L}}\p{{N}}]*+(?={head}))"
+    return rf"(?md)(^{_GAP}(?:(?:{title})[^\p{{L}}\p{{N}}]+?)?)(?:{marked}|{bare}|{reserved})"
+
+
+STATEMENT = statement()
+
+
+def canonical_lines(text: Column, statements: str = STATEMENT) -> Column:
+    """The text without case, copyright statements and punctuation; its line breaks stay."""
     text = F.translate(F.coalesce(text, F.lit("")), _UPPER, _LOWER)
-    text = F.regexp_replace(text, COPYRIGHT_LINE, "")
+    text = F.regexp_replace(text, statements, "$1")
     text = F.regexp_replace(text, r"[^\p{L}\p{N}\n]+", " ")
     for spelling, same in EQUIVALENT:
         text = F.replace(text, F.lit(spelling), F.lit(same))
@@ -55,17 +95,17 @@ def _flat(lines: Column) -> Column:
     return F.trim(flat)
 
 
-def canonical(text: Column) -> Column:
+def canonical(text: Column, statements: str = STATEMENT) -> Column:
     """The canonical form of a whole text."""
-    return _flat(canonical_lines(text))
+    return _flat(canonical_lines(text, statements))
 
 
-def _known(df: DataFrame, rows: Sequence[tuple[str, str]]) -> DataFrame:
+def _known(df: DataFrame, rows: Sequence[tuple[str, str]], statements: str) -> DataFrame:
     """(license, digest, size) of known texts; refuses a table that is no small one."""
     if len(rows) > KNOWN_AT_MOST:
         raise ValueError(f"at most {KNOWN_AT_MOST} known texts are broadcast")
     texts = df.sparkSession.createDataFrame(list(rows), "license string, text string")
-    form = canonical(F.col("text"))
+    form = canonical(F.col("text"), statements)
     texts = texts.select("license", F.sha2(form, 256).alias("digest"), F.length(form).alias("size"))
     return texts.groupBy("digest", "size").agg(F.min("license").alias("license"))
 
@@ -85,10 +125,11 @@ def scan(
     repeated rows get repeated results; an empty table gives an empty one; other
     columns are not read. Lines are only digested if a known notice has their length.
     """
-    whole, lines = F.broadcast(_known(df, texts)), _known(df, notices)
+    statements = statement(texts, notices)
+    whole, lines = F.broadcast(_known(df, texts, statements)), _known(df, notices, statements)
     sizes = sorted({r["size"] for r in lines.select("size").collect()})
     by_digest = [(r["digest"], r["license"]) for r in lines.collect()]
-    picked = df.select(named(df, id_column).alias("doc_id"), canonical_lines(named(df, text_column)).alias("body"))
+    picked = df.select(named(df, id_column).alias("doc_id"), canonical_lines(named(df, text_column), statements).alias("body"))
     flat = _flat(F.col("body"))
     found = F.transform(F.split("body", "\n"), lambda x: F.trim(x))
     found = F.filter(found, lambda x: F.length(x).isin(sizes) if sizes else F.lit(False))

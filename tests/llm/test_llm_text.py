@@ -6,7 +6,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 from helpers import AWKWARD, base_counts, clashing, documents
-from panelspark.llm import bpe_automaton, html_text, language, licenses, packing, quality, separators, tokens
+from panelspark.llm import bpe_automaton, html_text, language, license_texts, licenses, packing, quality, separators, tokens
 from panelspark.llm.license_texts import MIT
 from tokenizers import Tokenizer
 
@@ -136,6 +136,33 @@ def test_license_scan(spark):
     assert licenses.scan(documents(spark, rows).limit(0)).count() == 0
 
 
+def test_license_copies_however_they_wrap(spark):
+    import textwrap
+
+    rows, wanted = [], {}
+    for name, text in license_texts.TEXTS:
+        for holder in ("2020 Jane Doe", "2019-2021, X. All rights reserved.", "<year> <copyright holders>", "Jane Doe and others"):
+            filled = text.replace("<year>, <copyright holders>", holder).replace("<year> <copyright holders>", holder)
+            parts = [" ".join(p.split()) for p in filled.strip().split("\n\n")]
+            forms = ["\n\n".join(parts), " ".join(parts), "\r\n".join(filled.split("\n"))]
+            for width in (*range(50, 90), 100):
+                forms += ["\n\n".join(textwrap.fill(p, width) for p in parts), textwrap.fill(" ".join(parts), width)]
+            for form in forms:
+                wanted[len(rows)] = name
+                rows.append((len(rows), form))
+    found = licenses.scan(documents(spark, rows)).collect()
+    assert [(rows[r.doc_id][1], r.license) for r in found if r.license != wanted[r.doc_id]] == []
+
+
+def test_license_notice_beside_a_statement(spark):
+    rows = [(1, "Copyright 2020 X. Licensed under the MIT License."), (2, "a\n# (c) 2019 Y, All rights reserved. SPDX-License-Identifier: MIT\nb"),
+            (3, "copyright holders be kind"), (4, ""), (5, "(c) the user pays"), (6, "© 2020 Z\nAll rights reserved.")]
+    found = {r.doc_id: r for r in licenses.scan(documents(spark, rows)).collect()}
+    assert [found[k].notices for k in (1, 2, 3)] == ["MIT", "MIT", ""]
+    empty = found[4].text_digest
+    assert found[6].text_digest == empty and empty not in (found[3].text_digest, found[5].text_digest)
+
+
 GOOD = "the quick brown fox jumps over lazy dogs and then walks home through green fields near old rivers "
 
 
