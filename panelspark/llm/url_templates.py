@@ -2,9 +2,8 @@
 
 A path's segments are generalised by form (runs of digits, long hexadecimal
 codes). All paths of a host make a tree; level by level, a node's branches are
-merged into a wildcard when they are too many to be names, or when their share of
-bad labels does not differ from their siblings' beyond chance. What remains are
-templates; one is rejected when its smoothed share of bad labels is too high.
+merged into a wildcard when they have few labels, or when their share of bad labels
+does not differ from their siblings' beyond chance. What remains are templates; one is rejected when its smoothed share of bad labels is too high.
 """
 
 from __future__ import annotations
@@ -19,7 +18,7 @@ from panelspark.llm.common import named, written
 # (verdict, host and path) of the query's contract (fixed values)
 RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
 DEPTH = 6
-NAMES_AT_MOST = 24
+ENOUGH_LABELS = 5  # fewer say nothing of a branch's own rate
 SIMILAR_Z = 1.96
 PRIOR_WEIGHT = 20.0
 REJECT_ABOVE = 0.5
@@ -82,7 +81,7 @@ def templates(pages: DataFrame, depth: int = DEPTH) -> DataFrame:
         apart = F.abs(F.col("bad") - F.col("n") * rate) / F.sqrt(F.col("n") * rate * (1 - rate) + 1e-9)
         merged = written(
             branches.join(nodes, ["host", "above"])
-            .where((F.col("n_branches") > NAMES_AT_MOST) | (F.col("n") == 0) | (apart <= SIMILAR_Z))
+            .where((F.col("n") < ENOUGH_LABELS) | (apart <= SIMILAR_Z))
             .select("host", F.col("above").alias("up"), F.col("branch").alias("old")),
             "merged-branches",
         )

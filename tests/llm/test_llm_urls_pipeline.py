@@ -56,6 +56,18 @@ def test_similar_branches_merge(spark):
     assert {r.template for r in found} == {"/*/{n}"}
 
 
+def test_a_bad_section_among_many_is_blocked(spark):
+    pages = [(k, f"http://h/{chr(97 + k % 26)}{chr(97 + k // 26 % 2)}/{k}") for k in range(52 * 40)]
+    pages += [(10_000 + k, f"http://h/{chr(97 + k % 26)}{chr(97 + k // 26 % 26)}x/{k}") for k in range(676)]  # a label each
+    marks = [(k, int("/bb/" in url or k > 10_000 and k % 10 == 0)) for k, url in pages]
+    found = url_templates.judge_urls(
+        spark.createDataFrame(pages, "page_id long, url string"), spark.createDataFrame(marks, "page_id long, bad int")
+    ).collect()
+    assert {r.path.split("/")[1] for r in found if r.verdict == "block"} == {"bb"}
+    assert {r.template for r in found if r.path.startswith("/bb/")} == {"/bb/{n}"}
+    assert {r.template for r in found if r.page_id >= 10_000} == {"/*/{n}"}
+
+
 def test_pipeline_stages(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language_id", "quality_rules", "exact_dedup", "near_dedup", "packing"]
