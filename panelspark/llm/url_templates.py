@@ -17,7 +17,6 @@ from panelspark.llm.common import named, written
 
 # (verdict, host and path) of the query's contract (fixed values)
 RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
-DEPTH = 6
 ENOUGH_LABELS = 5  # fewer say nothing of a branch's own rate
 SIMILAR_Z = 1.96
 PRIOR_WEIGHT = 20.0
@@ -45,19 +44,26 @@ def matching_rule(host: Column, path: Column, rules: Sequence[tuple[str, str]])
     return (empty, empty) if name is None else (name, verdict)
 
 
-def segments(path: Column, depth: int) -> Column:
-    """Generalised segments; what lies deeper than ``depth`` is one segment of its own kind."""
+def segments(path: Column) -> Column:
+    """All generalised segments."""
     parts = F.split(F.regexp_replace(path, "^/", ""), "/")
-    parts = F.transform(parts, lambda p: F.regexp_replace(F.regexp_replace(p, r"(?i)[0-9a-f]{16,}", "{hex}"), r"[0-9]+", "{n}"))
-    deep = F.concat(F.slice(parts, 1, depth), F.array(F.lit("{deep}")))
-    return F.when(F.size(parts) > depth, deep).otherwise(parts)
+    return F.transform(parts, lambda p: F.regexp_replace(F.regexp_replace(p, r"(?i)[0-9a-f]{16,}", "{hex}"), r"[0-9]+", "{n}"))
 
 
-def templates(pages: DataFrame, depth: int = DEPTH) -> DataFrame:
+def _next_level(tree: DataFrame, level: int) -> int | None:
+    """The first level after ``level`` where templates of one node part, None if none do."""
+    longer = tree.where(F.size("template") > level).groupBy("host", F.slice("template", 1, level).alias("above"))
+    ends = longer.agg(F.min("template").alias("low"), F.max("template").alias("high")).where("low <> high")
+    same = F.zip_with("low", "high", lambda a, b: a.eqNullSafe(b))
+    return ends.agg(F.min(F.array_position(same, False))).first()[0]
+
+
+def templates(pages: DataFrame) -> DataFrame:
     """(host, form, template, n_labelled, n_bad) of every generalised path.
 
     ``pages`` has host, form (the segments) and bad (1, 0 or null). Counts are
-    summed in the map tasks first, so a hot host sends few rows.
+    summed in the map tasks first, so a hot host sends few rows. Levels at which
+    no node branches are passed over; the last one is where the last node does.
     """
     tree = written(
         pages.groupBy("host", "form").agg(
@@ -65,7 +71,8 @@ def templates(pages: DataFrame, depth: int = DEPTH) -> DataFrame:
         ).withColumn("template", F.col("form")),
         "path-tree",
     )
-    for level in range(1, depth + 2):
+    level = 0
+    while level := _next_level(tree, level):
         above = F.slice("template", 1, level - 1)
         branches = (
             tree.where(F.size("template") >= level)
@@ -85,7 +92,7 @@ def templates(pages: DataFrame, depth: int = DEPTH) -> DataFrame:
             .select("host", F.col("above").alias("up"), F.col("branch").alias("old")),
             "merged-branches",
         )
-        wild = F.concat(above, F.array(F.lit("*")), F.slice("template", level + 1, depth + 1))
+        wild = F.concat(above, F.array(F.lit("*")), F.slice("template", F.lit(level + 1), F.size("template")))
         # try_element_at keeps shorter templates in the join without an error
         hit = (tree.host == merged.host) & (above == merged.up) & (F.try_element_at("template", F.lit(level)) == merged.old)
         tree = written(
@@ -104,7 +111,6 @@ def judge_urls(
     id_column: str = "page_id",
     url_column: str = "url",
     rules: Sequence[tuple[str, str]] = RULES,
-    depth: int = DEPTH,
 ) -> DataFrame:
     """One row per page: page_id, host, path, rule, verdict, template, badness.
 
@@ -119,10 +125,10 @@ def judge_urls(
     picked = df.select(named(df, id_column).alias("page_id"), named(df, url_column).alias("url"))
     host, path = host_and_path(F.col("url"))
     picked = picked.select("page_id", host.alias("host"), path.alias("path")).withColumn(
-        "form", segments(F.col("path"), depth)
+        "form", segments(F.col("path"))
     )
     known = labels.where("page_id IS NOT NULL AND bad IS NOT NULL").groupBy("page_id").agg(F.max("bad").alias("bad"))
-    tree = templates(picked.join(known, "page_id", "left").select("host", "form", "bad"), depth)
+    tree = templates(picked.join(known, "page_id", "left").select("host", "form", "bad"))
     total = tree.agg(F.sum("n_labelled").alias("n"), F.sum("n_bad").alias("bad")).first()
     base = (total["bad"] / total["n"]) if total["n"] else 0.0
     sums = tree.groupBy("host", "template").agg(F.sum("n_labelled").alias("n"), F.sum("n_bad").alias("bad"))

@@ -68,6 +68,14 @@ def test_a_bad_section_among_many_is_blocked(spark):
     assert {r.template for r in found if r.page_id >= 10_000} == {"/*/{n}"}
 
 
+def test_sections_deep_in_a_path_are_told_apart(spark):
+    pages = [(k, f"http://h/a/2024/05/06/section/topic/{'spam' if k % 2 else 'news'}/x/{k}") for k in range(200)]
+    marks = spark.createDataFrame([(k, k % 2) for k, _ in pages], "page_id long, bad int")
+    found = url_templates.judge_urls(spark.createDataFrame(pages, "page_id long, url string"), marks).collect()
+    assert all(r.verdict == ("block" if r.page_id % 2 else "allow") for r in found) and len(found) == 200
+    assert {r.template for r in found} == {f"/a/{{n}}/{{n}}/{{n}}/section/topic/{x}/x/{{n}}" for x in ("spam", "news")}
+
+
 def test_pipeline_stages(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language_id", "quality_rules", "exact_dedup", "near_dedup", "packing"]
