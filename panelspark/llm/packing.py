@@ -66,7 +66,8 @@ def schedule(totals: np.ndarray, weights: np.ndarray, window: int = WINDOW) -> l
 
     While all remaining queues can fill their share, windows are equal. The
     window in which one would run dry is written out: it gives all it has,
-    the others fill up in turn. Less than a window is left over for powers of two.
+    the others fill up in turn, so a queue costs a bounded number of segments.
+    Less than a window is left over for powers of two.
     """
     left, given = totals.astype(np.int64).copy(), np.zeros(len(totals), np.int64)
     segments, first = [], 0
@@ -89,8 +90,15 @@ def schedule(totals: np.ndarray, weights: np.ndarray, window: int = WINDOW) -> l
         if runs:
             add(runs, window, _PARTS, parts)
             continue
-        even = _running(parts) * window // _PARTS
-        takes = np.minimum(np.diff(even), left)
+        # queues without their share and a token to spare give all they have, the others theirs of the rest
+        dry = active & ((left - 1) * _PARTS // (window * np.maximum(parts, 1)) < 1)
+        takes, room = np.zeros(len(left), np.int64), window
+        for queue in sorted(np.flatnonzero(dry), key=lambda q: left[q]):
+            takes[queue] = min(int(left[queue]), room)
+            room -= int(takes[queue])
+        rest = np.where(dry, 0, parts)
+        if rest.any():
+            takes += np.minimum(np.diff(_running(rest) * room // int(rest.sum())), np.where(dry, 0, left))
         short = window - int(takes.sum())
         for queue in np.argsort(-(left - takes), kind="stable"):
             more = min(short, int(left[queue] - takes[queue]))

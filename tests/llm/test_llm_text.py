@@ -93,6 +93,16 @@ def test_packing_mixture_stays_within_a_token():
         assert np.abs(given - windows * 2048 * np.array([0.25, 0.5, 0.25])).max() <= 1
 
 
+@pytest.mark.parametrize("small", [[1], [2], [500], [9000], [1, 1, 2, 3, 700, 5000], [1] * 3000, [0, 7]])
+def test_packing_schedule_is_short_beside_tiny_sources(small):
+    totals = np.array([2_000_000_000, *small, 900_000_001])
+    segments = packing.schedule(totals, totals.astype(float), 2048)
+    assert len(segments) <= 3 * (totals > 0).sum() + 12
+    given = sum(np.diff(packing._served([s.count], s, s.shares)[:, 0]) for s in segments)
+    assert given.tolist() == totals.tolist() and all((np.diff(s.shares) >= 0).all() for s in segments)
+    assert sum(s.count for s in segments if s.length == 2048) == totals.sum() // 2048
+
+
 def test_separator_scan_counts_and_stitches(spark, numbered):
     streams = separators.token_streams(numbered, BYTE_BPE, 50256, block_ids=7)
     streams = spark.createDataFrame(streams.collect(), streams.schema)
