@@ -14,6 +14,7 @@ from __future__ import annotations
 import html
 import re
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -46,6 +47,15 @@ NEVER_WORDS = {
     "sidebar", "skip", "social", "sponsor", "sponsored", "sponsors", "subscribe", "subscription", "toolbar", "topbar",
     "widget", "widgets", "alert", "login", "signup", "search",
 }
+# words that a name may add to one of these, before it (a state of the page, no furniture) or behind it
+STATE_WORDS = {"with", "without", "has", "have", "no", "not", "is", "hide", "show"}
+HOLDER_WORDS = {
+    "area", "articles", "bar", "block", "body", "box", "btn", "button", "buttons", "column", "container", "content", "form",
+    "group", "holder", "icons", "inner", "item", "items", "link", "links", "list", "outer", "panel", "posts", "row", "section",
+    "slot", "stories", "text", "title", "unit", "wrap", "wrapper",
+}
+HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
+IN_HEAD = {"title", "meta", "link", "base", "basefont", "bgsound", "script", "style", "noscript", "template", "noframes"}
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
     r"|<(?P<close>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attributes>(?:[^>\"']++|\"[^\"]*\"|'[^']*')*+(?=>|\Z)|[^>]*)(?:>|\Z)"
@@ -61,42 +71,85 @@ _CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "
 _SCOPE = {"ul", "ol", "dl", "table", "article", "main", "section", "div", "body", "nav", "aside"}
 
 
-def _furniture(tag: str, attributes: str, inside: int) -> bool:
-    """Whether an element is never part of an article; the header of an article is."""
+def _names_furniture(name: str, header_kept: bool) -> bool:
+    """Whether a class or id name is one of the words, alone, as the head word or before a holder's word."""
+    words = [w for w in _WORDS.findall(name) if not w.isdigit()]
+    if not words or words[0] in STATE_WORDS:
+        return False
+    if header_kept and "header" in words:
+        return False
+    return words[-1] in NEVER_WORDS or words[0] in NEVER_WORDS and all(w in HOLDER_WORDS for w in words[1:])
+
+
+def _furniture(tag: str, attributes: str, inside: int) -> int:
+    """2 if an element is never part of an article (the header of an article is), 1 if only its names say so."""
     if tag in NEVER and not (tag == "header" and inside):
-        return True
+        return 2
     if tag in ("body", "html") or not attributes:
-        return False
+        return 0
+    found = 0
     for name, *values in _ATTRIBUTE.findall(attributes):
         name, value = name.lower(), "".join(values[:3]).lower()
         if name == "hidden" or values[3].lower() == "hidden":
-            return True
+            return 2
         if name == "role" and value in NEVER_ROLES or name == "aria-hidden" and value == "true":
-            return True
+            return 2
         if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
-            return True
-        if name in ("class", "id") and tag not in MAIN and any(
-            w in NEVER_WORDS and not (inside and tag == "header" and w == "header") for w in _WORDS.findall(value)
+            return 2
+        if name in ("class", "id") and tag not in MAIN and not (name == "id" and tag in HEADINGS) and any(
+            _names_furniture(w, bool(inside) and tag == "header") for w in value.split()
         ):
-            return True
-    return False
+            found = 1
+    return found
 
 
 class _Node:
-    __slots__ = ("tag", "path", "never", "main")
+    __slots__ = ("tag", "path", "never", "main", "named")
 
-    def __init__(self, tag: str, path: str, never: bool, main: int):
-        self.tag, self.path, self.never, self.main = tag, path, never, main
+    def __init__(self, tag: str, path: str, never: bool, main: int, named: tuple[int, ...]):
+        self.tag, self.path, self.never, self.main, self.named = tag, path, never, main, named
 
 
-def blocks(page: str) -> Iterator[tuple[str, str, int]]:
-    """(path, text, main) of the blocks outside page furniture, in order.
+class Block(NamedTuple):
+    path: str
+    text: str
+    main: int  # number of the outermost article or main element around it, 0 for none
+    named: tuple[int, ...]  # numbers of the elements around it whose names are those of furniture
 
-    ``main`` numbers the outermost article or main element around it, 0 for none.
+
+def _kept(found: list[Block]) -> list[Block]:
+    """The blocks outside elements with names of furniture, but for those that hold the article.
+
+    Such an element stays if it holds the page's only article or main elements, or
+    most of its text, measured without what other such elements inside it hold.
     """
-    stack = [_Node("", "", False, 0)]
+    if not any(b.named for b in found):
+        return found
+    only = not any(b.main and not b.named for b in found)
+    total, own, mains = sum(len(b.text) for b in found), {}, set()
+    for b in found:
+        if b.named:
+            own[b.named] = own.get(b.named, 0) + len(b.text)
+            if b.main:
+                mains.add(b.named)
+    stays: set[int] = set()
+    if only and mains:
+        stays.update(max(mains, key=lambda n: own[n]))
+    elif only:
+        stays.update(k for n, size in own.items() if 2 * size > total for k in n)
+    return [b for b in found if stays.issuperset(b.named)]
+
+
+def blocks(page: str) -> list[Block]:
+    """The blocks outside page furniture, in order."""
+    return _kept(list(_all_blocks(page)))
+
+
+def _all_blocks(page: str) -> Iterator[Block]:
+    """All blocks but those in elements that are never part of an article."""
+    stack = [_Node("", "", False, 0, ())]
     words: list[str] = []
-    where, mains, place, blank = stack[0], 0, 0, True
+    where, mains, names, place, blank = stack[0], 0, 0, 0, True
 
     def ended():
         nonlocal blank
@@ -109,6 +162,8 @@ def blocks(page: str) -> Iterator[tuple[str, str, int]]:
         match = _TOKEN.match(page, place)
         place = match.end()
         if match["text"] is not None:
+            if stack[-1].tag == "head" and not match["text"].isspace():
+                stack.pop()
             if not stack[-1].never:
                 if blank and not match["text"].isspace():
                     where, blank = stack[-1], False
@@ -122,10 +177,12 @@ def blocks(page: str) -> Iterator[tuple[str, str, int]]:
             depth = next((k for k in range(len(stack) - 1, 0, -1) if stack[k].tag == tag), 0)
             if block or depth and any(n.tag in BLOCKS for n in stack[depth:]):
                 if text := ended():
-                    yield where.path, text, where.main
+                    yield Block(where.path, text, where.main, where.named)
             if depth:
                 del stack[depth:]
             continue
+        if stack[-1].tag == "head" and tag not in IN_HEAD:  # its end tag may be omitted
+            stack.pop()
         if tag in RAW:
             found = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>", re.I).search(page, place)
             place = found.end() if found else len(page)
@@ -134,7 +191,7 @@ def blocks(page: str) -> Iterator[tuple[str, str, int]]:
             continue
         if block or tag in NEVER:
             if text := ended():
-                yield where.path, text, where.main
+                yield Block(where.path, text, where.main, where.named)
             if block:  # a paragraph ends where a block begins, and takes its inline tags along
                 open_p = next((k for k in range(len(stack) - 1, 0, -1) if stack[k].tag == "p" or stack[k].tag in _SCOPE), 0)
                 if open_p and stack[open_p].tag == "p":
@@ -156,9 +213,13 @@ def blocks(page: str) -> Iterator[tuple[str, str, int]]:
         if tag in MAIN and not main and not above.never:
             mains += 1
             main = mains
-        stack.append(_Node(tag, f"{above.path}/{tag}", above.never or _furniture(tag, attributes, above.main), main))
+        kind, named = _furniture(tag, attributes, above.main), above.named
+        if kind == 1:
+            names += 1
+            named = (*named, names)
+        stack.append(_Node(tag, f"{above.path}/{tag}", above.never or kind == 2, main, named))
     if text := ended():
-        yield where.path, text, where.main
+        yield Block(where.path, text, where.main, where.named)
 
 
 def _smoothed(values: np.ndarray) -> np.ndarray:
@@ -169,7 +230,7 @@ def _smoothed(values: np.ndarray) -> np.ndarray:
     return np.convolve(np.pad(values, 2, mode="edge"), weights / weights.sum(), "valid")
 
 
-def content_paths(found: list[tuple[str, str, int]]) -> set[str]:
+def content_paths(found: list[Block]) -> set[str]:
     """Paths whose fused, smoothed ratios reach the threshold of the page.
 
     Per path: characters of text per node, and punctuation marks per node. Both
@@ -177,16 +238,16 @@ def content_paths(found: list[tuple[str, str, int]]) -> set[str]:
     mean over its nodes, the threshold the smaller of mean and half the maximum.
     """
     totals: dict[str, list[float]] = {}
-    for path, text, _ in found:
+    for path, text, *_ in found:
         row = totals.setdefault(path, [0.0, 0.0, 0.0])
         row[0] += len(text)
         row[1] += len(_PUNCTUATION.findall(text))
         row[2] += 1
-    text_ratio = _smoothed(np.array([totals[p][0] / totals[p][2] for p, _, _ in found]))
-    mark_ratio = _smoothed(np.array([totals[p][1] / totals[p][2] for p, _, _ in found]))
+    text_ratio = _smoothed(np.array([totals[p][0] / totals[p][2] for p, *_ in found]))
+    mark_ratio = _smoothed(np.array([totals[p][1] / totals[p][2] for p, *_ in found]))
     fused = np.sqrt(text_ratio * (1.0 + mark_ratio))
     scores: dict[str, list[float]] = {}
-    for (path, _, _), value in zip(found, fused):
+    for (path, *_), value in zip(found, fused):
         scores.setdefault(path, []).append(value)
     means = {p: sum(v) / len(v) for p, v in scores.items()}
     limit = min(float(fused.mean()), max(means.values()) / 2)
@@ -200,19 +261,19 @@ def main_text(page: str) -> str:
     elements that hold one are taken whole. Else everything below the deepest
     element that holds all content paths is taken.
     """
-    found = list(blocks(page))
+    found = blocks(page)
     if not found:
         return ""
     paths = content_paths(found)
-    mains = {m for p, _, m in found if m and p in paths} or {m for _, _, m in found if m}
+    mains = {b.main for b in found if b.main and b.path in paths} or {b.main for b in found if b.main}
     if mains:
-        return "\n".join(text for _, text, main in found if main in mains)
+        return "\n".join(b.text for b in found if b.main in mains)
     parts = [p.split("/") for p in paths]
     shared = 0
     while all(len(p) > shared + 1 for p in parts) and len({p[shared] for p in parts}) == 1:
         shared += 1
     prefix = "/".join(parts[0][:shared])
-    return "\n".join(text for path, text, _ in found if path == prefix or path.startswith(prefix + "/") or not prefix)
+    return "\n".join(b.text for b in found if b.path == prefix or b.path.startswith(prefix + "/") or not prefix)
 
 
 def _extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

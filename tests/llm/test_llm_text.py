@@ -278,3 +278,19 @@ def test_html_main_text(spark):
     assert texts[3] == texts[4] == texts[5] == texts[7] == "" and texts[6] == "a\na\na" and texts[8] == "deep, text"
     assert all(r.n_chars == len(r.text) for r in html_text.extract(df).collect())
     assert html_text.extract(df.limit(0)).count() == 0
+
+
+ARTICLE = "<h2 id='search-in-graphs'>Search</h2><p>A long sentence, with marks; it tells a story.</p><p>Another one, as long as that, ends it.</p>"
+STORY = "Search\nA long sentence, with marks; it tells a story.\nAnother one, as long as that, ends it."
+
+
+@pytest.mark.parametrize("page", [
+    f"<body><div class='layout with-sidebar'><article>{ARTICLE}</article><div class='sidebar'>Side, bar.</div></div>",
+    f"<body><div class='no-sidebar'><div>{ARTICLE}</div></div>", f"<div class='post has-comments'>{ARTICLE}</div>",
+    f"<section id='related-work'>{ARTICLE}</section>", f"<div class='share-price'>{ARTICLE}</div>",
+    f"<div class='sidebar'><article>{ARTICLE}</article></div>", f"<div id='search'>{ARTICLE}</div><p class='ad'>Buy, now.</p>",
+    f"<html><head><title>t</title><meta x><body><article>{ARTICLE}</article>", f"<head><script>x</script><div>{ARTICLE}</div>",
+    f"<article>{ARTICLE}</article><div class='comments-area'><article class='c'><p>{'A reader writes, much. ' * 40}</p></article></div>",
+])
+def test_html_layout_names_do_not_remove_the_article(page):
+    assert html_text.main_text(page) == STORY
