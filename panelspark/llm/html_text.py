@@ -3,10 +3,11 @@
 Every text node belongs to the path of tags from the root to it. For each path
 the amount of text per node and the punctuation per node are summed over
 the page; both ratios are smoothed along the page, fused to one score, and the
-paths whose score passes the page's threshold are content. Elements that
+nodes of paths whose score passes the page's threshold are content. Elements that
 are never an article (menus, forms, scripts and so on) are left out before
-the ratios are taken, by tag, role and class words; what stands inside the
-container that holds the content paths is kept whole, headings included.
+the ratios are taken, by tag, role and class words. Of the nodes below the
+threshold only headings of content and the unlinked paragraphs, lists and tables
+in an element that itself holds content are added again.
 """
 
 from __future__ import annotations
@@ -54,6 +55,12 @@ HOLDER_WORDS = {
     "group", "holder", "icons", "inner", "item", "items", "link", "links", "list", "outer", "panel", "posts", "row", "section",
     "slot", "stories", "text", "title", "unit", "wrap", "wrapper",
 }
+# block elements that are text of the element around them, not a part of the page
+MARKUP = {
+    "p", "pre", "blockquote", "ul", "ol", "li", "dl", "dt", "dd", "table", "thead", "tbody", "tfoot", "tr", "td", "th", "figure",
+    "figcaption", "address",
+}
+LISTS = {"ul", "ol", "dl", "table"}
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 IN_HEAD = {"title", "meta", "link", "base", "basefont", "bgsound", "script", "style", "noscript", "template", "noframes"}
 _TOKEN = re.compile(
@@ -104,10 +111,19 @@ def _furniture(tag: str, attributes: str, inside: int) -> int:
 
 
 class _Node:
-    __slots__ = ("tag", "path", "never", "main", "named")
+    __slots__ = ("tag", "path", "never", "main", "named", "block", "part", "unit", "linked")
 
-    def __init__(self, tag: str, path: str, never: bool, main: int, named: tuple[int, ...]):
+    def __init__(self, tag: str, path: str, never: bool, main: int, named: tuple[int, ...], above: _Node | None, number: int):
         self.tag, self.path, self.never, self.main, self.named = tag, path, never, main, named
+        self.block, self.part, self.unit, self.linked = tag, number, number, tag == "a"
+        if above is not None:
+            self.linked = self.linked or above.linked
+            if tag not in BLOCKS:
+                self.block, self.part, self.unit = above.block, above.part, above.unit
+            elif tag in MARKUP or tag in HEADINGS:
+                self.part = above.part
+                if above.unit != above.part and above.block in LISTS | MARKUP:
+                    self.unit = above.unit
 
 
 class Block(NamedTuple):
@@ -115,6 +131,10 @@ class Block(NamedTuple):
     text: str
     main: int  # number of the outermost article or main element around it, 0 for none
     named: tuple[int, ...]  # numbers of the elements around it whose names are those of furniture
+    block: str  # tag of the block element it stands in
+    part: int  # number of the part of the page around it: its nearest block element that is no text markup
+    unit: int  # number of the outermost list, table, quote or paragraph around it in that part
+    linked: int  # characters of it inside links
 
 
 def _kept(found: list[Block]) -> list[Block]:
@@ -147,13 +167,14 @@ def blocks(page: str) -> list[Block]:
 
 def _all_blocks(page: str) -> Iterator[Block]:
     """All blocks but those in elements that are never part of an article."""
-    stack = [_Node("", "", False, 0, ())]
+    stack = [_Node("", "", False, 0, (), None, 0)]
+    opened = linked = 0
     words: list[str] = []
     where, mains, names, place, blank = stack[0], 0, 0, 0, True
 
     def ended():
-        nonlocal blank
-        blank = True
+        nonlocal blank, linked
+        blank, linked = True, 0
         text = _SPACE.sub(" ", html.unescape("".join(words)).replace("\x00", "")).strip()
         words.clear()
         return text
@@ -168,6 +189,8 @@ def _all_blocks(page: str) -> Iterator[Block]:
                 if blank and not match["text"].isspace():
                     where, blank = stack[-1], False
                 words.append(match["text"])
+                if stack[-1].linked:
+                    linked += len(match["text"].strip())
             continue
         if match["tag"] is None:
             continue
@@ -176,8 +199,9 @@ def _all_blocks(page: str) -> Iterator[Block]:
         if match["close"]:
             depth = next((k for k in range(len(stack) - 1, 0, -1) if stack[k].tag == tag), 0)
             if block or depth and any(n.tag in BLOCKS for n in stack[depth:]):
+                links = linked
                 if text := ended():
-                    yield Block(where.path, text, where.main, where.named)
+                    yield Block(where.path, text, where.main, where.named, where.block, where.part, where.unit, links)
             if depth:
                 del stack[depth:]
             continue
@@ -190,8 +214,9 @@ def _all_blocks(page: str) -> Iterator[Block]:
                 words.append(" ")
             continue
         if block or tag in NEVER:
+            links = linked
             if text := ended():
-                yield Block(where.path, text, where.main, where.named)
+                yield Block(where.path, text, where.main, where.named, where.block, where.part, where.unit, links)
             if block:  # a paragraph ends where a block begins, and takes its inline tags along
                 open_p = next((k for k in range(len(stack) - 1, 0, -1) if stack[k].tag == "p" or stack[k].tag in _SCOPE), 0)
                 if open_p and stack[open_p].tag == "p":
@@ -213,13 +238,15 @@ def _all_blocks(page: str) -> Iterator[Block]:
         if tag in MAIN and not main and not above.never:
             mains += 1
             main = mains
+        opened += 1
         kind, named = _furniture(tag, attributes, above.main), above.named
         if kind == 1:
             names += 1
             named = (*named, names)
-        stack.append(_Node(tag, f"{above.path}/{tag}", above.never or kind == 2, main, named))
+        stack.append(_Node(tag, f"{above.path}/{tag}", above.never or kind == 2, main, named, above, opened))
+    links = linked
     if text := ended():
-        yield Block(where.path, text, where.main, where.named)
+        yield Block(where.path, text, where.main, where.named, where.block, where.part, where.unit, links)
 
 
 def _smoothed(values: np.ndarray) -> np.ndarray:
@@ -254,26 +281,47 @@ def content_paths(found: list[Block]) -> set[str]:
     return {p for p, v in means.items() if v >= limit}
 
 
+def _selected(found: list[Block], paths: set[str]) -> list[Block]:
+    """The blocks of content paths, and what belongs to them: unlinked markup in the
+    same part of the page, and headings with such blocks below them."""
+    keep = [b.path in paths and b.block not in HEADINGS for b in found]
+    if not any(keep):
+        keep = [b.path in paths for b in found]
+    parts = {b.part for b, k in zip(found, keep) if k}
+    units: dict[int, list[int]] = {}
+    for b in found:
+        row = units.setdefault(b.unit, [0, 0])
+        row[0] += len(b.text)
+        row[1] += b.linked
+    for k, b in enumerate(found):
+        if b.block in MARKUP and b.part in parts and 2 * units[b.unit][1] < units[b.unit][0]:
+            keep[k] = True
+    wanted = [False] * 7  # whether content follows before the next heading of at most each level
+    for k in range(len(found) - 1, -1, -1):
+        if found[k].block in HEADINGS:
+            level = int(found[k].block[1])
+            keep[k] = keep[k] or wanted[level]
+            wanted[level:] = [False] * (7 - level)
+        elif keep[k]:
+            wanted = [True] * 7
+    return [b for b, k in zip(found, keep) if k]
+
+
 def main_text(page: str) -> str:
     """The article's text, one block per line.
 
-    If content paths lie in an article or main element, all of the outermost such
-    elements that hold one are taken whole. Else everything below the deepest
-    element that holds all content paths is taken.
+    If content paths lie in an article or main element, nodes are selected in the
+    outermost such elements that hold one (in all of them if none does), else in
+    the whole page.
     """
     found = blocks(page)
     if not found:
         return ""
     paths = content_paths(found)
-    mains = {b.main for b in found if b.main and b.path in paths} or {b.main for b in found if b.main}
-    if mains:
-        return "\n".join(b.text for b in found if b.main in mains)
-    parts = [p.split("/") for p in paths]
-    shared = 0
-    while all(len(p) > shared + 1 for p in parts) and len({p[shared] for p in parts}) == 1:
-        shared += 1
-    prefix = "/".join(parts[0][:shared])
-    return "\n".join(b.text for b in found if b.path == prefix or b.path.startswith(prefix + "/") or not prefix)
+    mains = {b.main for b in found if b.main and b.path in paths}
+    if not mains and (inside := [b for b in found if b.main]):
+        mains, paths = {b.main for b in inside}, content_paths(inside)
+    return "\n".join(b.text for b in _selected([b for b in found if not mains or b.main in mains], paths))
 
 
 def _extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -294,3 +294,11 @@ STORY = "Search\nA long sentence, with marks; it tells a story.\nAnother one, as
 ])
 def test_html_layout_names_do_not_remove_the_article(page):
     assert html_text.main_text(page) == STORY
+
+
+@pytest.mark.parametrize("around", ["<article>%s</article>", "<div>%s</div>", "<main><div>%s</div></main>"])
+def test_html_low_scores_inside_a_container_go(around):
+    links = "<ul><li><a href='x'>One more</a></li><li><a href='y'>And more</a></li></ul>"
+    inner = ARTICLE + "<ul><li>point</li></ul><h3>Sub</h3><p>Yet another sentence, with marks; it goes on.</p><h3>More</h3>" + links + "<div>Read on</div>"
+    page = "<body><div><span>Top</span></div>" + around % inner + "<div><a href='z'>Next</a></div><div>Tail</div></body>"
+    assert html_text.main_text(page) == STORY + "\npoint\nSub\nYet another sentence, with marks; it goes on."
