@@ -5,12 +5,15 @@ import pytest
 
 import __spark_entry__ as entry
 import check_oracles
+from panelspark.plans.registered import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
 
 
 def test_contract():
-    queries, oracles = entry.queries(), entry.oracle_sql()
+    assert set(QUERIES) <= set(entry.queries()) and set(ORACLES) <= set(entry.oracle_sql())
+    assert set(entry.oracle_sql()) <= set(entry.queries())
+    queries, oracles = QUERIES, ORACLES
     assert len(queries) >= 113 and set(oracles) <= set(queries)
     assert set(queries) - set(oracles) == {
         "bronze_manifest", "artifact_files", "wild_cluster_bootstrap_drawn", "model_suite",
