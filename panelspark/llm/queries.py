@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from panelspark.llm import bpe_automaton, html_text, language, licenses, packing, quality, separators, url_templates
 from panelspark.llm import exact_dedup as exact
+from panelspark.llm import whitening
 from panelspark.llm import near_dedup as near
 from panelspark.llm.common import table, written
 
@@ -82,6 +83,11 @@ def op10_path_template_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame
     return url_templates.judge_urls(pages, marked)
 
 
+def op11_bit_sliced_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whitened coordinates of every finite embedding on its 16 leading components."""
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_license_digest_scan": op1_license_digest_scan,
     "op2_deficit_round_robin_packing": op2_deficit_round_robin_packing,
@@ -93,6 +99,7 @@ QUERIES = {
     "op8_separator_token_counts": op8_separator_token_counts,
     "op9_chunk_recipe_exact_dedup": op9_chunk_recipe_exact_dedup,
     "op10_path_template_url_filter": op10_path_template_url_filter,
+    "op11_bit_sliced_whitening": op11_bit_sliced_whitening,
 }
 ORACLES = {
     "op1_license_digest_scan": licenses.oracle(),
