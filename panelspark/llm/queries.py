@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from panelspark.llm import bpe_automaton, html_text, language, licenses, packing, quality, separators, url_templates
 from panelspark.llm import exact_dedup as exact
-from panelspark.llm import whitening
+from panelspark.llm import periodic_runs, whitening
 from panelspark.llm import near_dedup as near
 from panelspark.llm.common import table, written
 
@@ -88,6 +88,14 @@ def op11_bit_sliced_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(table(spark, sf_dir, "embeddings"))
 
 
+def op12_frequency_split_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic word runs of every document, and its text with the repeats collapsed."""
+    found = periodic_runs.detect(table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id", "n_runs", "start", "length", "period", "exponent_milli", "runs_sha256", "collapsed_sha256", "n_words",
+    )
+
+
 QUERIES = {
     "op1_license_digest_scan": op1_license_digest_scan,
     "op2_deficit_round_robin_packing": op2_deficit_round_robin_packing,
@@ -100,6 +108,7 @@ QUERIES = {
     "op9_chunk_recipe_exact_dedup": op9_chunk_recipe_exact_dedup,
     "op10_path_template_url_filter": op10_path_template_url_filter,
     "op11_bit_sliced_whitening": op11_bit_sliced_whitening,
+    "op12_frequency_split_runs": op12_frequency_split_runs,
 }
 ORACLES = {
     "op1_license_digest_scan": licenses.oracle(),
