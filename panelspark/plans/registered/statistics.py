@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from panelspark.operators import aggregates as A
+from panelspark.operators.absorbed import absorbed_cluster
 from panelspark.operators.bootstrap import BOOTSTRAP_SCHEMA, wild_cluster_bootstrap
 from panelspark.operators.regression import (
     Model,
@@ -104,6 +105,59 @@ def ols_cluster(spark, sf_dir):
     return _numeric_terms(spark, fit)
 
 
+def _absorbed_sql(cluster: str) -> str:
+    """Every term of PRICE_MODEL with one-way cluster errors, the month factor absorbed.
+
+    Level l's error uses only the (cluster, level) pairs that exist:
+    Var(alpha_l - alpha_ref) = sum a_l^2 - 2 sum a_l a_ref + sum a_ref^2 - 2 d.sum a_l r + 2 d.sum a_ref r + d'Rd,
+    with a = residual sum / level count, r = S^-1 sum z~ e per cluster and d = zbar_l - zbar_ref.
+    """
+    return within_sql(
+        "l_quantity", "l_discount", "ship_month",
+        f""", rg AS (SELECT {cluster} AS g, sum(z1 * e) AS r1, sum(z2 * e) AS r2 FROM r GROUP BY {cluster}),
+    big AS (SELECT sum(r1 * r1) AS q11, sum(r1 * r2) AS q12, sum(r2 * r2) AS q22, CAST(count(*) AS DOUBLE) AS g FROM rg),
+    lv AS (SELECT f, count(*) AS nl, avg(x1) AS m1, avg(x2) AS m2, avg(y) - any_value(b1) * avg(x1) - any_value(b2) * avg(x2) AS alpha
+      FROM base, m GROUP BY f),
+    ref AS (SELECT * FROM lv WHERE f = (SELECT min(f) FROM lv)),
+    pr AS (SELECT r.{cluster} AS g, r.f, sum(e) / any_value(lv.nl) AS a FROM r JOIN lv ON r.f = lv.f GROUP BY r.{cluster}, r.f),
+    prr AS (SELECT pr.g, pr.a, rg.r1, rg.r2 FROM pr JOIN rg ON pr.g = rg.g WHERE pr.f = (SELECT f FROM ref)),
+    cref AS (SELECT sum(a * a) AS s_aa, sum(a * r1) AS s_ar1, sum(a * r2) AS s_ar2 FROM prr),
+    per AS (SELECT pr.f, sum(pr.a * pr.a) AS s_ll, sum(pr.a * coalesce(prr.a, 0)) AS s_lref,
+        sum(pr.a * rg.r1) AS s_lr1, sum(pr.a * rg.r2) AS s_lr2
+      FROM pr JOIN rg ON pr.g = rg.g LEFT JOIN prr ON prr.g = pr.g GROUP BY pr.f),
+    fac AS (SELECT big.*, g / (g - 1) * (n - 1) / (n - k) AS c FROM big, m),
+    terms AS (
+      SELECT 'Intercept' AS term, ref.alpha AS coefficient,
+        sqrt(greatest(c * (s_aa - 2 * (ref.m1 * s_ar1 + ref.m2 * s_ar2)
+          + ref.m1 * ref.m1 * q11 + 2 * ref.m1 * ref.m2 * q12 + ref.m2 * ref.m2 * q22), 0)) AS std_error
+      FROM ref, cref, fac
+      UNION ALL
+      SELECT concat('C(ship_month)[T.', lv.f, ']'), lv.alpha - ref.alpha,
+        sqrt(greatest(c * (s_ll - 2 * s_lref + s_aa - 2 * ((lv.m1 - ref.m1) * s_lr1 + (lv.m2 - ref.m2) * s_lr2)
+          + 2 * ((lv.m1 - ref.m1) * s_ar1 + (lv.m2 - ref.m2) * s_ar2)
+          + (lv.m1 - ref.m1) * (lv.m1 - ref.m1) * q11 + 2 * (lv.m1 - ref.m1) * (lv.m2 - ref.m2) * q12
+          + (lv.m2 - ref.m2) * (lv.m2 - ref.m2) * q22), 0))
+      FROM lv JOIN per ON lv.f = per.f, ref, cref, fac WHERE lv.f <> ref.f
+      UNION ALL SELECT 'l_quantity', b1, sqrt(c * q11) FROM m, fac
+      UNION ALL SELECT 'l_discount', b2, sqrt(c * q22) FROM m, fac)
+    SELECT term, coefficient, std_error, coefficient / std_error AS t_value,
+      coefficient - 1.959963984540054 * std_error AS ci_low, coefficient + 1.959963984540054 * std_error AS ci_high
+    FROM terms""",
+    )
+
+
+@query(
+    "ols_cluster_all_terms",
+    "term s, coefficient d4, std_error d4, t_value d5, ci_low d4, ci_high d4",
+    _absorbed_sql("l_suppkey"),
+    "sample",
+)
+def ols_cluster_all_terms(spark, sf_dir):
+    """Every term, month effects included, with cluster errors; the month factor absorbed."""
+    table = absorbed_cluster(X.regression_sample(spark, sf_dir), PRICE_MODEL, "l_suppkey", absorb="ship_month")
+    return table.select("term", "coefficient", "std_error", "t_value", "ci_low", "ci_high")
+
+
 _TWO_WAY_MODEL = Model("l_extendedprice", ("l_quantity", "l_discount"), ("l_returnflag",), "two_way")
 
 
