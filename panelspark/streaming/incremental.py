@@ -2,15 +2,25 @@
 
 The batch lake only knows "a new immutable batch appears". This job keeps that
 contract but reads only the files that are new since the last run.
+
+Each micro-batch writes one Silver folder named by the stream's query id (kept
+in its checkpoint) and the batch number. A retried batch rewrites only its own
+folder; a new checkpoint, or a stream over another landing folder, writes new
+folders and never touches those of other streams. A key is new when no other
+folder holds it, so every Silver key is stored exactly once.
 """
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
+from panelspark.session import materialize
+
 SILVER_KEY = ["bzn", "metric", "event_time_utc"]
 
 
@@ -27,8 +37,8 @@ def one_per_key(batch: DataFrame) -> DataFrame:
     return picked.select(*SILVER_KEY, "_rest.*").select(*batch.columns)
 
 
-def new_keys(batch: DataFrame, silver: str, number: int) -> DataFrame:
-    """Rows whose key no earlier delivery holds, however old the key is.
+def new_keys(batch: DataFrame, silver: str, delivery: str) -> DataFrame:
+    """Rows whose key no other delivery folder holds, however old the key is.
 
     Only the Silver partitions (zone and month) that the batch touches are read.
     """
@@ -39,7 +49,7 @@ def new_keys(batch: DataFrame, silver: str, number: int) -> DataFrame:
         return batch
     earlier = spark.read.schema(_stored(batch)).option("basePath", silver).parquet(silver)
     touched = batch.select("bzn", _month()).distinct()
-    earlier = earlier.where(F.col("delivery") < number).join(touched, ["bzn", "event_month"], "left_semi")
+    earlier = earlier.where(F.col("delivery") != delivery).join(touched, ["bzn", "event_month"], "left_semi")
     return batch.join(earlier.select(*SILVER_KEY), SILVER_KEY, "left_anti")
 
 
@@ -48,7 +58,7 @@ def _month():
 
 
 def _stored(batch: DataFrame) -> T.StructType:
-    keys = [T.StructField("delivery", T.LongType()), T.StructField("event_month", T.StringType())]
+    keys = [T.StructField("delivery", T.StringType()), T.StructField("event_month", T.StringType())]
     return T.StructType([*batch.schema.fields, *keys])
 
 
@@ -59,13 +69,18 @@ def stream_bronze_to_silver(
 
     A key is kept once, whenever it arrives again; late keys are kept like
     any other, so nothing is held in state. A micro-batch is written under its
-    number and overwrites that folder when it is retried, so a restart does not
-    append twice.
+    query id and number and overwrites only that folder when it is retried, so
+    a restart does not append twice and another stream loses nothing.
     """
+    identity: list[str] = []
 
     def append(batch: DataFrame, number: int) -> None:
-        fresh = new_keys(one_per_key(batch), silver, number).withColumn("event_month", _month())
-        fresh.write.mode("overwrite").partitionBy("bzn", "event_month").parquet(f"{silver}/delivery={number}")
+        if not identity:
+            identity.append(_query_id(spark, checkpoint))
+        delivery = f"{identity[0]}-{number:012d}"
+        keys = materialize(one_per_key(batch), "stream-batch")
+        fresh = new_keys(keys, silver, delivery).withColumn("event_month", _month())
+        fresh.write.mode("overwrite").partitionBy("bzn", "event_month").parquet(f"{silver}/delivery={delivery}")
 
     return (
         bronze_stream(spark, bronze, schema)
@@ -76,6 +91,12 @@ def stream_bronze_to_silver(
     )
 
 
+def _query_id(spark: SparkSession, checkpoint: str) -> str:
+    """The id a streaming query keeps in its checkpoint across restarts."""
+    text = "\n".join(r.value for r in spark.read.text(f"{checkpoint}/metadata").collect())
+    return json.loads(text)["id"]
+
+
 def read_silver(spark: SparkSession, silver: str) -> DataFrame:
     stored = spark.read.option("basePath", silver).parquet(f"{silver}/delivery=*")
     return stored.drop("delivery", "event_month")

@@ -31,3 +31,22 @@ def test_late_keys_are_kept(spark, folder):
         deliver(spark, bronze, [("FR", "p", dt.datetime(2024, 1, day), float(day))])
         stream_bronze_to_silver(spark, bronze, silver, checkpoint, SCHEMA).awaitTermination()
     assert sorted(r.value for r in read_silver(spark, silver).collect()) == [10.0, 20.0, 21.0]
+
+
+def test_new_checkpoint_over_same_bronze_stores_no_copy(spark, folder):
+    bronze, silver = f"{folder}/bronze", f"{folder}/silver"
+    deliver(spark, bronze, [("FR", "p", T0, 1.0)])
+    stream_bronze_to_silver(spark, bronze, silver, f"{folder}/c1", SCHEMA).awaitTermination()
+    deliver(spark, bronze, [("FR", "p", T0 + dt.timedelta(hours=1), 2.0)])
+    stream_bronze_to_silver(spark, bronze, silver, f"{folder}/c1", SCHEMA).awaitTermination()
+    stream_bronze_to_silver(spark, bronze, silver, f"{folder}/c2", SCHEMA).awaitTermination()
+    assert sorted(r.value for r in read_silver(spark, silver).collect()) == [1.0, 2.0]
+
+
+def test_new_landing_folder_loses_nothing(spark, folder):
+    silver = f"{folder}/silver"
+    deliver(spark, f"{folder}/landing1", [("FR", "p", T0, 1.0)])
+    stream_bronze_to_silver(spark, f"{folder}/landing1", silver, f"{folder}/c1", SCHEMA).awaitTermination()
+    deliver(spark, f"{folder}/landing2", [("FR", "p", T0 + dt.timedelta(hours=2), 3.0), ("FR", "p", T0, 9.0)])
+    stream_bronze_to_silver(spark, f"{folder}/landing2", silver, f"{folder}/c2", SCHEMA).awaitTermination()
+    assert sorted(r.value for r in read_silver(spark, silver).collect()) == [1.0, 3.0]
