@@ -76,7 +76,12 @@ def wild_cluster_bootstrap(
     seed: int = 20260804,
     exact: bool = False,
 ) -> list[dict]:
-    """One record per target: coefficient, t value, bootstrap p and quantiles."""
+    """One record per target: coefficient, t value, bootstrap p and quantiles.
+
+    Blocks of every cluster go to the driver (bounded by MAX_BLOCK_NUMBERS):
+    for listing every sign vector of few clusters, or for repeating draws of
+    numpy's generator. ``distributed_bootstrap`` has no bound on clusters.
+    """
     spark = df.sparkSession
     groups, terms, blocks = cluster_blocks(df, model, cluster)
     k = len(terms)
@@ -154,3 +159,127 @@ BOOTSTRAP_SCHEMA = (
     "bootstrap_t_50pct double, bootstrap_t_97_5pct double, observations long, "
     "clusters long, repetitions long, seed long"
 )
+
+
+_GOLDEN = np.uint64(0x9E3779B97F4A7C15)
+
+
+def _mix(values: np.ndarray) -> np.ndarray:
+    """A 64-bit finalizer (multiply and shift), element by element."""
+    values = (values ^ (values >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    values = (values ^ (values >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return values ^ (values >> np.uint64(31))
+
+
+def counter_signs(seed: int, reps: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Rademacher sign of each (repetition, cluster key): a pure function, the same in any task."""
+    with np.errstate(over="ignore"):
+        start = _mix(np.uint64(seed) + reps.astype(np.uint64)[:, None] * _GOLDEN)
+        bits = _mix(start ^ keys.astype(np.uint64)[None, :]) >> np.uint64(63)
+    return 1.0 - 2.0 * bits.astype(np.float64)
+
+
+def distributed_bootstrap(
+    df: DataFrame, model: Model, cluster: str, targets: list[str], reps: int = 999, seed: int = 20260804,
+    rep_block: int = 1024,
+) -> list[dict]:
+    """Wild cluster bootstrap-t with drawn signs and any number of clusters.
+
+    With restricted residual blocks res_g = X_g'y - X_g'X_g b_r, h the target's
+    row of (X'X)^-1, c_g = h . res_g and v_g = (X'X)^-1 X_g'X_g h, repetition r has
+    delta_r = sum_g w_rg res_g, u_r = sum_g w_rg c_g v_g and
+
+        t_r = h . delta_r / sqrt(C - 2 delta_r . u_r + delta_r' Q delta_r),  C = sum c_g^2, Q = sum v_g v_g'.
+
+    The per-cluster vectors stay in Spark; each task multiplies its clusters'
+    signs (a pure function of seed, repetition and cluster key) into them, so
+    only reps x 2k sums and k x k constants reach the driver.
+    """
+    known = df.where(F.col(cluster).isNotNull())
+    rows = usable_rows(known, model, [F.col(cluster).cast("string").alias("_g")])
+    cells = materialize(cell_moments(rows, model, ["_g"]), "cluster-cells")
+    levels = factor_levels(cells, model)
+    terms = term_names(model, levels)
+    k = len(terms)
+    gram = _as_matrix(_sum_matrices(cells, lambda b: [((), _cells_to_gram(b, model, levels))], (), ""), k + 1)
+    xtx, xty = gram[:k, :k], gram[:k, k]
+    bread, _ = generalized_inverse(xtx)
+    beta = bread @ xty
+    by_cluster = cells.withColumn("_key", F.xxhash64("_g")).repartition("_g")
+    groups = cells.select("_g").distinct().count()
+    records = []
+    for target in targets:
+        at = terms.index(target)
+        h = bread[at]
+        kept = [i for i in range(k) if i != at]
+        inverse_r, _ = generalized_inverse(xtx[np.ix_(kept, kept)])
+        beta_r = np.zeros(k)
+        beta_r[kept] = inverse_r @ xty[kept]
+
+        def per_cluster(batches, beta_r=beta_r, h=h):
+            for batch in batches:
+                out = []
+                for (group, key), part in batch.groupby(["_g", "_key"], sort=False):
+                    block = _cells_to_gram(part, model, levels)
+                    a, b = block[:k, :k], block[:k, k]
+                    residual = b - a @ beta_r
+                    out.append((int(key), residual.tolist(), float(h @ residual), (bread @ (a @ h)).tolist(),
+                                float(h @ (b - a @ beta))))
+                if out:
+                    yield pd.DataFrame(out, columns=["key", "res", "c", "v", "obs"])
+
+        scores = materialize(
+            by_cluster.mapInPandas(per_cluster, "key long, res array<double>, c double, v array<double>, obs double"),
+            "bootstrap-scores",
+        )
+
+        def constants(batch):
+            v = np.array(batch["v"].tolist()).reshape(len(batch), k)
+            c, obs = batch["c"].to_numpy(float), batch["obs"].to_numpy(float)
+            padded = np.zeros((k + 1, k + 1))
+            padded[:k, :k] = v.T @ v
+            padded[k, k] = c @ c
+            padded[0, k] = padded[k, 0] = obs @ obs
+            yield (), padded
+
+        fixed = _as_matrix(_sum_matrices(scores, constants, (), ""), k + 1)
+        q, big_c, observed_sq = fixed[:k, :k], fixed[k, k], fixed[0, k]
+
+        def products(batches):
+            total = np.zeros((reps, 2 * k))
+            for batch in batches:
+                if not len(batch):
+                    continue
+                keys = batch["key"].to_numpy().astype(np.int64).view(np.uint64)
+                stacked = np.hstack([
+                    np.array(batch["res"].tolist()).reshape(len(batch), k),
+                    batch["c"].to_numpy(float)[:, None] * np.array(batch["v"].tolist()).reshape(len(batch), k),
+                ])
+                for first in range(0, reps, rep_block):
+                    chunk = np.arange(first, min(reps, first + rep_block))
+                    total[chunk] += counter_signs(seed, chunk, keys) @ stacked
+            rep, pos = np.meshgrid(np.arange(reps), np.arange(2 * k), indexing="ij")
+            yield pd.DataFrame({"rep": rep.ravel(), "pos": pos.ravel(), "value": total.ravel()})
+
+        sums = (
+            scores.mapInPandas(products, "rep long, pos long, value double")
+            .groupBy("rep", "pos").agg(F.sum("value").alias("value")).toPandas()
+        )
+        table = np.zeros((reps, 2 * k))
+        table[sums["rep"].to_numpy(), sums["pos"].to_numpy()] = sums["value"].to_numpy()
+        delta, u = table[:, :k], table[:, k:]
+        spread = big_c - 2 * np.einsum("ri,ri->r", delta, u) + np.einsum("ri,ij,rj->r", delta, q, delta)
+        deviation = np.sqrt(np.maximum(spread, 0.0))
+        t_values = np.divide(delta @ h, deviation, out=np.zeros(reps), where=deviation > 0)
+        se = float(np.sqrt(max(observed_sq, 0.0)))
+        observed = float(beta[at] / se) if se else 0.0
+        hits = float((np.abs(t_values) >= abs(observed) * (1.0 - 1e-9)).sum())
+        low, middle, high = np.quantile(t_values, [0.025, 0.5, 0.975])
+        records.append({
+            "outcome": model.outcome, "target": target, "coefficient": float(beta[at]),
+            "cluster_se_uncorrected": se, "observed_t": observed,
+            "wild_bootstrap_p_value": (1.0 + hits) / (reps + 1.0),
+            "bootstrap_t_2_5pct": float(low), "bootstrap_t_50pct": float(middle), "bootstrap_t_97_5pct": float(high),
+            "observations": int(round(gram[0, 0])), "clusters": groups, "repetitions": reps, "seed": seed,
+        })
+    return records

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from panelspark.operators import aggregates as A
 from panelspark.operators.absorbed import absorbed_cluster
-from panelspark.operators.bootstrap import BOOTSTRAP_SCHEMA, wild_cluster_bootstrap
+from panelspark.operators.bootstrap import BOOTSTRAP_SCHEMA, distributed_bootstrap, wild_cluster_bootstrap
 from panelspark.operators.regression import (
     Model,
     coefficient_frame,
@@ -277,10 +277,12 @@ def _bootstrap(spark, sf_dir, exact):
     model = Model("l_extendedprice", ("l_quantity",), ("ship_month",))
     if not exact:
         model = PRICE_MODEL
-    records = wild_cluster_bootstrap(
-        X.regression_sample(spark, sf_dir), model, "supplier_group", list(model.numeric),
-        exact=exact,
-    )
+    if exact:
+        records = wild_cluster_bootstrap(
+            X.regression_sample(spark, sf_dir), model, "supplier_group", list(model.numeric), exact=True,
+        )
+    else:
+        records = distributed_bootstrap(X.regression_sample(spark, sf_dir), model, "supplier_group", list(model.numeric))
     return spark.createDataFrame([tuple(r.values()) for r in records], BOOTSTRAP_SCHEMA)
 
 
