@@ -156,7 +156,7 @@ class Automaton:
             rows, token = rows[going], part[going]
         return result
 
-    def encode(self, words: list[bytes]) -> list[np.ndarray]:
+    def encode(self, words: list[bytes]) -> list[list[int]]:
         """Token ids of every word (at least one byte each)."""
         found: list = [None] * len(words)
         by_length: dict[int, list[int]] = {}
@@ -170,7 +170,7 @@ class Automaton:
                     found[k] = ids
         return found
 
-    def _encode_equal(self, words: list[bytes], length: int) -> list[np.ndarray]:
+    def _encode_equal(self, words: list[bytes], length: int) -> list[list[int]]:
         """Words of one length: from each place, follow the trie and take what is admitted."""
         letters = np.frombuffer(b"".join(words), np.uint8).reshape(-1, length).astype(np.int64)
         last = np.full((len(words), length + 1), -1, np.int32)
@@ -196,7 +196,8 @@ class Automaton:
             used[every, at] = True
             at = came[every, at]
             every, at = every[at > 0], at[at > 0]
-        return np.split(last[used], np.cumsum(used.sum(axis=1))[:-1])
+        flat, ends = last[used].tolist(), np.cumsum(used.sum(axis=1)).tolist()
+        return [flat[a:b] for a, b in zip([0, *ends[:-1]], ends)]
 
 
 class Encoder:
@@ -216,6 +217,7 @@ class Encoder:
         self.white = re.compile("[" + "".join(map(chr, _WHITE)) + "]+")
         self.narrow = re.compile("[\x1c-\x1f]")
         self.known: dict[str, tuple[str, str]] = {}
+        self.decimal = [str(i) for i in range(len(self.automaton.labels))]
 
     def stretches(self, text: str) -> list[str]:
         """Normalised text (NFC, each letter lower-cased alone) between white space."""
@@ -234,11 +236,10 @@ class Encoder:
             new = list(stretches)
         pieces = [self.words.findall(s) for s in new]
         words = list({w for p in pieces for w in p})
-        labels = self.automaton.labels
+        labels, decimal = self.automaton.labels, self.decimal
         done = {}
         for word, ids in zip(words, self.automaton.encode([w.encode("utf-8", "surrogatepass") for w in words])):
-            ids = ids.tolist()
-            done[word] = " ".join(map(str, ids)), " ".join([labels[i] for i in ids])
+            done[word] = " ".join([decimal[i] for i in ids]), " ".join([labels[i] for i in ids])
         for stretch, parts in zip(new, pieces):
             if len(parts) == 1:
                 self.known[stretch] = done[parts[0]]
