@@ -218,6 +218,7 @@ class Encoder:
         self.narrow = re.compile("[\x1c-\x1f]")
         self.known: dict[str, tuple[str, str]] = {}
         self.decimal = [str(i) for i in range(len(self.automaton.labels))]
+        self.known_words: dict[str, tuple[str, str]] = {}
 
     def stretches(self, text: str) -> list[str]:
         """Normalised text (NFC, each letter lower-cased alone) between white space."""
@@ -235,9 +236,12 @@ class Encoder:
             self.known.clear()
             new = list(stretches)
         pieces = [self.words.findall(s) for s in new]
-        words = list({w for p in pieces for w in p})
+        done = self.known_words
+        words = list({w for p in pieces for w in p if w not in done})
+        if len(done) + len(words) > _CACHED_STRETCHES:
+            done.clear()
+            words = list({w for p in pieces for w in p})
         labels, decimal = self.automaton.labels, self.decimal
-        done = {}
         for word, ids in zip(words, self.automaton.encode([w.encode("utf-8", "surrogatepass") for w in words])):
             done[word] = " ".join([decimal[i] for i in ids]), " ".join([labels[i] for i in ids])
         for stretch, parts in zip(new, pieces):
