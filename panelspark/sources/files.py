@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -59,19 +61,35 @@ def read_lake_table(
 
 
 def latest_batch(table: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Rows of the last batch, by the order of its path keys.
+    """Rows of the last batch: the lexicographically last ``key=value`` path.
 
-    The maximum is one row of partition values; it becomes literals, so only
-    the files of that batch are read afterwards.
+    The maximum is taken over the paths of the table's file index, which the
+    planner holds already: no job runs and no row is read. The winning values
+    become literals, so only the files of that batch are read afterwards. Keys
+    that are not in the paths fall back to an aggregate over the rows.
     """
-    last = table.agg(F.max(F.struct(*keys)).alias("m")).select("m.*").first()
-    if last is None or last[0] is None:
-        raise ValueError("the table has no batch")
+    found = []
+    for path in table.inputFiles():
+        values = tuple(_path_value(path, key) for key in keys)
+        if None not in values:
+            found.append(values)
+    if found:
+        last = dict(zip(keys, max(found)))
+    else:
+        row = table.agg(F.max(F.struct(*keys)).alias("m")).select("m.*").first()
+        if row is None or row[0] is None:
+            raise ValueError("the table has no batch")
+        last = {key: row[key] for key in keys}
     for key in keys:
         table = table.where(F.col(key) == F.lit(last[key]))
     return table
 
 
+def _path_value(path: str, key: str) -> str | None:
+    match = re.search(rf"(?:^|/){re.escape(key)}=([^/]+)/", path)
+    return unquote(match.group(1)) if match else None
+
+
 def path_keys(files: DataFrame, keys: Sequence[str], path: str = "path") -> DataFrame:
     """Adds a column per ``key=value`` part of the path; absent keys are null."""
     return files.withColumns(

@@ -202,3 +202,15 @@ def test_broken_payloads_stop_the_read_and_are_listed(spark, folder):
             payloads.read_weather(spark, f"{folder}/{bad}.json").collect()
     listed = {r.path.rsplit("/", 1)[1]: r.problem for r in payloads.quarantined(spark, folder, F.lit("/weather")).collect()}
     assert listed == {"cut.json": "not JSON", "error.json": "API error: true"}
+
+
+def test_latest_batch_reads_no_row(spark, folder):
+    rows = [("2024-01-02", "b1", 1), ("2024-01-10", "b0", 2), ("2024-01-10", "b2", 3), ("2024-01-10", "b2", 4)]
+    spark.createDataFrame(rows, "ingestion_date string, batch_id string, v int").write.partitionBy(
+        "ingestion_date", "batch_id").parquet(f"{folder}/t")
+    table = spark.read.parquet(f"{folder}/t")
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("latest", "latest")
+    latest = files.latest_batch(table, ["ingestion_date", "batch_id"])
+    assert tracker.getJobIdsForGroup("latest") == []
+    assert sorted(r.v for r in latest.collect()) == [3, 4]
