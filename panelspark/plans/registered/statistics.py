@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from panelspark.operators import aggregates as A
-from panelspark.operators.absorbed import absorbed_cluster
+from panelspark.operators.absorbed import absorbed_cluster, absorbed_two_way
 from panelspark.operators.bootstrap import BOOTSTRAP_SCHEMA, distributed_bootstrap, wild_cluster_bootstrap
 from panelspark.operators.regression import (
     Model,
@@ -105,51 +105,67 @@ def ols_cluster(spark, sf_dir):
     return _numeric_terms(spark, fit)
 
 
-def _absorbed_sql(cluster: str) -> str:
-    """Every term of PRICE_MODEL with one-way cluster errors, the month factor absorbed.
+def _cluster_parts_sql(cluster: str, t: str) -> str:
+    """Pair sums of one cluster key (a column list), named with the suffix ``t``."""
+    return f""", rg{t} AS (SELECT ROW({cluster}) AS g, sum(z1 * e) AS r1, sum(z2 * e) AS r2 FROM r GROUP BY ALL),
+    big{t} AS (SELECT sum(r1 * r1) AS q11, sum(r1 * r2) AS q12, sum(r2 * r2) AS q22, CAST(count(*) AS DOUBLE) AS g
+      FROM rg{t}),
+    pr{t} AS (SELECT ROW({cluster}) AS g, r.f, sum(e) / any_value(lv.nl) AS a FROM r JOIN lv ON r.f = lv.f GROUP BY ALL),
+    prr{t} AS (SELECT pr{t}.g, pr{t}.a, rg{t}.r1, rg{t}.r2 FROM pr{t} JOIN rg{t} ON pr{t}.g = rg{t}.g
+      WHERE pr{t}.f = (SELECT f FROM ref)),
+    cref{t} AS (SELECT coalesce(sum(a * a), 0) AS s_aa, coalesce(sum(a * r1), 0) AS s_ar1,
+      coalesce(sum(a * r2), 0) AS s_ar2 FROM prr{t}),
+    per{t} AS (SELECT pr{t}.f, sum(pr{t}.a * pr{t}.a) AS s_ll, sum(pr{t}.a * coalesce(prr{t}.a, 0)) AS s_lref,
+        sum(pr{t}.a * rg{t}.r1) AS s_lr1, sum(pr{t}.a * rg{t}.r2) AS s_lr2
+      FROM pr{t} JOIN rg{t} ON pr{t}.g = rg{t}.g LEFT JOIN prr{t} ON prr{t}.g = pr{t}.g GROUP BY pr{t}.f),
+    fac{t} AS (SELECT big{t}.*, s_aa, s_ar1, s_ar2, g / (g - 1) * (n - 1) / (n - k) AS c FROM big{t}, cref{t}, m)"""
+
+
+def _absorbed_sql(factor: str, clusters: list[tuple[str, float]], tail: str | None = None) -> str:
+    """Every term of a two-term model with clustered errors (signed sum over keys), the factor absorbed.
 
     Level l's error uses only the (cluster, level) pairs that exist:
     Var(alpha_l - alpha_ref) = sum a_l^2 - 2 sum a_l a_ref + sum a_ref^2 - 2 d.sum a_l r + 2 d.sum a_ref r + d'Rd,
     with a = residual sum / level count, r = S^-1 sum z~ e per cluster and d = zbar_l - zbar_ref.
     """
+    parts = "".join(_cluster_parts_sql(cluster, str(t)) for t, (cluster, _) in enumerate(clusters))
+
+    def total(expression: str) -> str:
+        return " + ".join(f"({sign!r} * fac{t}.c * ({expression.format(t=t)}))" for t, (_, sign) in enumerate(clusters))
+
+    intercept = total("fac{t}.s_aa - 2 * (ref.m1 * fac{t}.s_ar1 + ref.m2 * fac{t}.s_ar2) + ref.m1 * ref.m1 * fac{t}.q11"
+                      " + 2 * ref.m1 * ref.m2 * fac{t}.q12 + ref.m2 * ref.m2 * fac{t}.q22")
+    level = total(
+        "per{t}.s_ll - 2 * per{t}.s_lref + fac{t}.s_aa - 2 * ((lv.m1 - ref.m1) * per{t}.s_lr1 + (lv.m2 - ref.m2) * per{t}.s_lr2)"
+        " + 2 * ((lv.m1 - ref.m1) * fac{t}.s_ar1 + (lv.m2 - ref.m2) * fac{t}.s_ar2)"
+        " + (lv.m1 - ref.m1) * (lv.m1 - ref.m1) * fac{t}.q11 + 2 * (lv.m1 - ref.m1) * (lv.m2 - ref.m2) * fac{t}.q12"
+        " + (lv.m2 - ref.m2) * (lv.m2 - ref.m2) * fac{t}.q22"
+    )
+    facs = ", ".join(f"fac{t}" for t in range(len(clusters)))
+    pers = " ".join(f"JOIN per{t} ON lv.f = per{t}.f" for t in range(len(clusters)))
+    tail = tail or """SELECT term, coefficient, std_error, coefficient / std_error AS t_value,
+      coefficient - 1.959963984540054 * std_error AS ci_low, coefficient + 1.959963984540054 * std_error AS ci_high
+    FROM terms"""
     return within_sql(
-        "l_quantity", "l_discount", "ship_month",
-        f""", rg AS (SELECT {cluster} AS g, sum(z1 * e) AS r1, sum(z2 * e) AS r2 FROM r GROUP BY {cluster}),
-    big AS (SELECT sum(r1 * r1) AS q11, sum(r1 * r2) AS q12, sum(r2 * r2) AS q22, CAST(count(*) AS DOUBLE) AS g FROM rg),
-    lv AS (SELECT f, count(*) AS nl, avg(x1) AS m1, avg(x2) AS m2, avg(y) - any_value(b1) * avg(x1) - any_value(b2) * avg(x2) AS alpha
-      FROM base, m GROUP BY f),
-    ref AS (SELECT * FROM lv WHERE f = (SELECT min(f) FROM lv)),
-    pr AS (SELECT r.{cluster} AS g, r.f, sum(e) / any_value(lv.nl) AS a FROM r JOIN lv ON r.f = lv.f GROUP BY r.{cluster}, r.f),
-    prr AS (SELECT pr.g, pr.a, rg.r1, rg.r2 FROM pr JOIN rg ON pr.g = rg.g WHERE pr.f = (SELECT f FROM ref)),
-    cref AS (SELECT sum(a * a) AS s_aa, sum(a * r1) AS s_ar1, sum(a * r2) AS s_ar2 FROM prr),
-    per AS (SELECT pr.f, sum(pr.a * pr.a) AS s_ll, sum(pr.a * coalesce(prr.a, 0)) AS s_lref,
-        sum(pr.a * rg.r1) AS s_lr1, sum(pr.a * rg.r2) AS s_lr2
-      FROM pr JOIN rg ON pr.g = rg.g LEFT JOIN prr ON prr.g = pr.g GROUP BY pr.f),
-    fac AS (SELECT big.*, g / (g - 1) * (n - 1) / (n - k) AS c FROM big, m),
+        "l_quantity", "l_discount", factor,
+        f""", lv AS (SELECT f, count(*) AS nl, avg(x1) AS m1, avg(x2) AS m2,
+        avg(y) - any_value(b1) * avg(x1) - any_value(b2) * avg(x2) AS alpha FROM base, m GROUP BY f),
+    ref AS (SELECT * FROM lv WHERE f = (SELECT min(f) FROM lv)){parts},
     terms AS (
-      SELECT 'Intercept' AS term, ref.alpha AS coefficient,
-        sqrt(greatest(c * (s_aa - 2 * (ref.m1 * s_ar1 + ref.m2 * s_ar2)
-          + ref.m1 * ref.m1 * q11 + 2 * ref.m1 * ref.m2 * q12 + ref.m2 * ref.m2 * q22), 0)) AS std_error
-      FROM ref, cref, fac
+      SELECT 'Intercept' AS term, ref.alpha AS coefficient, sqrt(greatest({intercept}, 0)) AS std_error FROM ref, {facs}
       UNION ALL
-      SELECT concat('C(ship_month)[T.', lv.f, ']'), lv.alpha - ref.alpha,
-        sqrt(greatest(c * (s_ll - 2 * s_lref + s_aa - 2 * ((lv.m1 - ref.m1) * s_lr1 + (lv.m2 - ref.m2) * s_lr2)
-          + 2 * ((lv.m1 - ref.m1) * s_ar1 + (lv.m2 - ref.m2) * s_ar2)
-          + (lv.m1 - ref.m1) * (lv.m1 - ref.m1) * q11 + 2 * (lv.m1 - ref.m1) * (lv.m2 - ref.m2) * q12
-          + (lv.m2 - ref.m2) * (lv.m2 - ref.m2) * q22), 0))
-      FROM lv JOIN per ON lv.f = per.f, ref, cref, fac WHERE lv.f <> ref.f
-      UNION ALL SELECT 'l_quantity', b1, sqrt(c * q11) FROM m, fac
-      UNION ALL SELECT 'l_discount', b2, sqrt(c * q22) FROM m, fac)
-    SELECT term, coefficient, std_error, coefficient / std_error AS t_value,
-      coefficient - 1.959963984540054 * std_error AS ci_low, coefficient + 1.959963984540054 * std_error AS ci_high
-    FROM terms""",
+      SELECT concat('C({factor})[T.', lv.f, ']'), lv.alpha - ref.alpha, sqrt(greatest({level}, 0))
+      FROM lv {pers}, ref, {facs} WHERE lv.f <> ref.f
+      UNION ALL SELECT 'l_quantity', b1, sqrt(greatest({total("fac{t}.q11")}, 0)) FROM m, {facs}
+      UNION ALL SELECT 'l_discount', b2, sqrt(greatest({total("fac{t}.q22")}, 0)) FROM m, {facs})
+    {tail}""",
     )
 
 
 @query(
     "ols_cluster_all_terms",
     "term s, coefficient d4, std_error d4, t_value d5, ci_low d4, ci_high d4",
-    _absorbed_sql("l_suppkey"),
+    _absorbed_sql("ship_month", [("l_suppkey", 1.0)]),
     "sample",
 )
 def ols_cluster_all_terms(spark, sf_dir):
@@ -161,6 +177,22 @@ def ols_cluster_all_terms(spark, sf_dir):
 _TWO_WAY_MODEL = Model("l_extendedprice", ("l_quantity", "l_discount"), ("l_returnflag",), "two_way")
 
 
+@query(
+    "ols_two_way_all_terms",
+    "term s, coefficient d4, std_error d4, t_value d5",
+    _absorbed_sql(
+        "l_returnflag", [("l_suppkey", 1.0), ("ship_month", 1.0), ("l_suppkey, ship_month", -1.0)],
+        "SELECT term, coefficient, std_error, coefficient / std_error AS t_value FROM terms",
+    ),
+    "sample",
+)
+def ols_two_way_all_terms(spark, sf_dir):
+    """Every term with two-way clustered errors (supplier, month), the return flag absorbed."""
+    table = absorbed_two_way(X.regression_sample(spark, sf_dir), _TWO_WAY_MODEL, "l_suppkey", "ship_month",
+                             absorb="l_returnflag")
+    return table.select("term", "coefficient", "std_error", "t_value")
+
+
 @query(
     "ols_two_way_cluster",
     _COEFFICIENTS,
