@@ -551,6 +551,48 @@ def write_once(spark, sf_dir):
     return stored.agg(F.count(F.lit(1)).alias("rows")).select(outcomes.alias("outcome"), "rows")
 
 
+# contracts of the two publish attempts: (name, rules over the observed metrics)
+_PUBLISH_ATTEMPTS = [
+    ("complete", {"has rows": lambda m: m["rows"] > 0, "no null value": lambda m: m["null_values"] == 0}),
+    ("bounded", {"values at most 100": lambda m: m["max_value"] is not None and m["max_value"] <= 100}),
+]
+
+
+@query(
+    "publish_checked",
+    "attempt s, outcome s, rows_observed i, rows_readable i",
+    """SELECT 'complete' AS attempt,
+         CASE WHEN count(*) > 0 AND count(*) FILTER (WHERE value IS NULL) = 0 THEN 'published' ELSE 'rejected' END AS outcome,
+         count(*) AS rows_observed,
+         CASE WHEN count(*) > 0 AND count(*) FILTER (WHERE value IS NULL) = 0 THEN count(*) ELSE 0 END AS rows_readable
+       FROM events
+       UNION ALL
+       SELECT 'bounded', CASE WHEN max(value) <= 100 THEN 'published' ELSE 'rejected' END, count(*),
+         CASE WHEN max(value) <= 100 THEN count(*) ELSE 0 END FROM events""",
+)
+def publish_checked(spark, sf_dir):
+    """Each attempt stages, observes its metrics in the same write, and publishes only if its rules hold."""
+    events = X.table(spark, sf_dir, "events").withColumn("month", F.month("ts"))
+    metrics = {
+        "null_values": F.count_if(F.col("value").isNull()),
+        "max_value": F.max("value"),
+    }
+    rows = []
+    for attempt, rules in _PUBLISH_ATTEMPTS:
+        path = scratch_path(spark, f"publish-{attempt}")
+        try:
+            found = sinks.publish(events, path, ["month"], metrics, rules)
+            outcome = "published"
+        except sinks.RejectedBatch as rejected:
+            found, outcome = rejected.metrics, "rejected"
+        try:
+            readable = sinks.read_published(spark, path).count()
+        except FileNotFoundError:
+            readable = 0
+        rows.append((attempt, outcome, int(found["rows"]), readable))
+    return spark.createDataFrame(rows, "attempt string, outcome string, rows_observed long, rows_readable long")
+
+
 def overall_sql(keys: str = "") -> str:
     prefix = f"{keys}, " if keys else ""
     return " UNION ALL ".join(
