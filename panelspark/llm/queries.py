@@ -73,11 +73,17 @@ def op8_separator_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return separators.token_counts(blocks, END_OF_DOCUMENT)
 
 
+def page_document(url):
+    """The document a page's path names: its last non-empty segment if that is a whole number
+    (an extension such as .html allowed); null otherwise, and for numbers of more than 18 digits."""
+    last = F.regexp_extract(url_templates.host_and_path(url)[1], r"/([0-9]+)(?:\.[A-Za-z0-9]+)?/?$", 1)
+    return F.when((F.length(last) > 0) & (F.length(last) <= 18), last.cast("long"))
+
+
 def op10_path_template_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verdict of every page's url; a page's label is that of the document its path names."""
     pages, labels = table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels")
-    named_document = F.regexp_extract(url_templates.host_and_path(F.col("url"))[1], r"/([0-9]{1,18})", 1)
-    linked = pages.select("page_id", F.when(named_document != "", named_document.cast("long")).alias("doc_id"))
+    linked = pages.select("page_id", page_document(F.col("url")).alias("doc_id"))
     bad = F.when((F.col("quality") == 0) | (F.col("toxic") == 1), 1).otherwise(0)
     marked = linked.join(labels.select("doc_id", bad.alias("bad")), "doc_id").select("page_id", "bad")
     return url_templates.judge_urls(pages, marked)

@@ -92,3 +92,11 @@ def test_pipeline_stages(spark):
 def test_every_query_is_named_after_its_operator():
     assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 14))
     assert set(queries.ORACLES) <= set(queries.QUERIES)
+
+
+def test_page_document_is_the_last_whole_number(spark):
+    urls = ["https://a.example.com/en/853/", "http://x.net/2024/05/123", "https://b.org/de/216.html?x=1",
+            "https://c.com/en/1234567890123456789", "https://d.com/en/12abc", "https://e.com/7#t", None, "nothing"]
+    df = spark.createDataFrame([(u,) for u in urls], "url string")
+    got = [r.d for r in df.select(queries.page_document(df["url"]).alias("d")).collect()]
+    assert got == [853, 123, 216, None, None, 7, None, None]
