@@ -28,8 +28,9 @@ def melt(
 def map_dimensions(long: DataFrame, mapping: DataFrame, column: str = "source_column") -> DataFrame:
     """Attach region and metric by column name; unmapped columns stay visible.
 
-    ``mapping`` holds one row per source column (a file header), so Catalyst
-    broadcasts it by its size.
+    ``mapping`` holds one row per source column (a file header), so it is
+    broadcast. Its size is unknown to Catalyst when it comes from a list or a
+    grouping, and a shuffle would bring all rows of a source column together.
     """
     known = mapping.select(
         F.col("column").alias(column),
@@ -37,7 +38,7 @@ def map_dimensions(long: DataFrame, mapping: DataFrame, column: str = "source_co
         F.col("metric").alias("_m"),
         unit_of_metric("metric").alias("_u"),
     )
-    joined = long.join(known, column, "left")
+    joined = long.join(F.broadcast(known), column, "left")
     # the unit of a mapped column is worked out once, on the mapping row
     return joined.withColumns(
         {

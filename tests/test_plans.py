@@ -4,6 +4,8 @@ import io
 import re
 from contextlib import redirect_stdout
 
+from pyspark.sql import functions as F
+
 from panelspark.operators.quantiles import exact_quantiles
 from panelspark.operators.regression import Model, cell_moments, usable_rows
 from panelspark.plans import fixtures as X
@@ -69,3 +71,25 @@ def test_scratch_follows_the_session(spark):
     configured = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     root = scratch_path(spark, "x")
     assert root.startswith((configured or spark.sparkContext.getCheckpointDir()).rstrip("/") + "/")
+
+
+def deliveries(spark, folder):
+    """A wide delivery of 4,000 rows in 8 files, and a mapping of one of its two columns."""
+    rows = spark.range(0, 4000, 1, 8).select(
+        F.lit("2024-06-01 00:00:00").alias("utc"), F.col("id").cast("string").alias("cet"),
+        F.col("id").cast("double").alias("a"), F.lit(-1.0).alias("b"),
+    )
+    rows.write.parquet(f"{folder}/wide")
+    mapping = spark.createDataFrame([("a", "AT", "load")], "column string, region string, metric string")
+    return spark.read.parquet(f"{folder}/wide"), mapping
+
+
+def test_silver_rows_are_not_shuffled_by_source_column(spark, folder):
+    wide, mapping = deliveries(spark, folder)
+    long = marts.with_valid_time(marts.silver_long(wide, mapping, "utc", "cet", ["a", "b"], "b1", "now"))
+    text = plan(long)
+    assert "BroadcastHashJoin LeftOuter BuildRight" in text and "hashpartitioning" not in text
+    got = long.groupBy("source_column", "region", "metric", "unit").agg(F.count("*"), F.sum("value"))
+    assert {tuple(r) for r in got.collect()} == {
+        ("a", "AT", "load", "MW", 4000, 7998000.0), ("b", "UNKNOWN", "b", "MW", 4000, -4000.0)
+    }
