@@ -6,6 +6,7 @@ from contextlib import redirect_stdout
 
 from pyspark.sql import functions as F
 
+from panelspark.operators import aggregates as A
 from panelspark.operators.quantiles import exact_quantiles
 from panelspark.operators.regression import Model, cell_moments, usable_rows
 from panelspark.plans import fixtures as X
@@ -93,3 +94,15 @@ def test_silver_rows_are_not_shuffled_by_source_column(spark, folder):
     assert {tuple(r) for r in got.collect()} == {
         ("a", "AT", "load", "MW", 4000, 7998000.0), ("b", "UNKNOWN", "b", "MW", 4000, -4000.0)
     }
+
+
+def test_quality_counters_move_only_partial_counts(spark, folder):
+    wide, mapping = deliveries(spark, folder)
+    late = wide.withColumn("utc", F.when(F.col("a") >= 1000, F.col("utc")).otherwise("soon"))
+    long = marts.silver_long(late, mapping, "utc", "cet", ["a", "b"], "b1", "now")
+    counters = A.silver_counters(long)
+    text = plan(counters)
+    assert "hashpartitioning" not in text and "partial_count" in text
+    row = counters.first()
+    assert (row.non_null_values, row.rows_written, row.invalid_timestamp_count) == (8000, 6000, 2000)
+    assert row.negative_physical_value_count == 3000
