@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from panelspark.operators import aggregates as A
 from panelspark.operators.quantiles import exact_quantiles
 from panelspark.operators.regression import Model, cell_moments, usable_rows
+from panelspark.operators.reshape import map_dimensions
 from panelspark.plans import fixtures as X
 from panelspark.plans import marts
 from panelspark.session import materialize, scratch_path
@@ -106,3 +107,22 @@ def test_quality_counters_move_only_partial_counts(spark, folder):
     row = counters.first()
     assert (row.non_null_values, row.rows_written, row.invalid_timestamp_count) == (8000, 6000, 2000)
     assert row.negative_physical_value_count == 3000
+
+
+def test_mapped_rows_stay_in_their_task(spark):
+    """Unmapped columns stay visible; a mapping from a grouping is broadcast too."""
+    long = spark.range(1000).select(
+        F.col("id"), F.concat(F.lit("c"), F.col("id") % 3).alias("source_column"), F.lit(1.0).alias("value")
+    )
+    rows = [("c0", "AT", "solar_profile"), ("c1", "FR", "price_day_ahead")]
+    listed = spark.createDataFrame(rows, "column string, region string, metric string")
+    grouped = listed.groupBy("column").agg(F.max("region").alias("region"), F.max("metric").alias("metric"))
+    for mapping in (listed, grouped):
+        mapped = map_dimensions(long, mapping)
+        text = plan(mapped)
+        assert "BroadcastHashJoin LeftOuter BuildRight" in text and "SortMergeJoin" not in text
+        got = mapped.groupBy("source_column", "region", "metric", "unit").count()
+        assert {tuple(r) for r in got.collect()} == {
+            ("c0", "AT", "solar_profile", "fraction", 334), ("c1", "FR", "price_day_ahead", "EUR/MWh", 333),
+            ("c2", "UNKNOWN", "c2", "MW", 333),
+        }
