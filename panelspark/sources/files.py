@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from urllib.parse import unquote
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+# The ``binaryFile`` source holds a file in one value and refuses more bytes.
+WHOLE_FILE_BYTES = 2**31 - 1
+BYTE_ORDER_MARK = b"\xef\xbb\xbf"
 TIME_COLUMNS = ("utc_timestamp", "cet_cest_timestamp")
 MAPPING_SCHEMA = (
     "resources array<struct<schema: struct<fields: array<struct<name: string, "
@@ -111,26 +117,82 @@ def list_files(spark: SparkSession, path: str, pattern: str | None = None) -> Da
 
 
 def bronze_manifest(
-    spark: SparkSession, path: str, source: str, batch_id: str, pattern: str | None = None
+    spark: SparkSession, path: str, source: str, batch_id: str, pattern: str | None = None,
+    whole_bytes: int = WHOLE_FILE_BYTES,
 ) -> DataFrame:
     """One row per landed file: size, SHA-256, source, batch and status.
 
-    Each task hashes the files of its own splits; a file must stay below 2 GB.
+    Each task hashes the files of its own splits. A file over ``whole_bytes`` is
+    cut into lines, which go back in order to one task: a digest is a chain over
+    all bytes of its file, so that task still reads the file whole.
     """
-    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+    reader = spark.read.option("recursiveFileLookup", "true")
     if pattern:
         reader = reader.option("pathGlobFilter", pattern)
-    return reader.load(path).select(
+    landed = reader.format("binaryFile").load(path)
+    whole = landed.where(F.col("length") <= whole_bytes).select(
+        "path", "length", F.sha2("content", 256).alias("sha256")
+    )
+    large = landed.where(F.col("length") > whole_bytes).select(
+        "path", "length", F.col("_metadata.file_path").alias("_uri")
+    )
+    # "\n" alone ends a line, so that no byte of the file is lost
+    lines = reader.format("text").option("lineSep", "\n").load(path)
+    lines = lines.where(F.col("_metadata.file_size") > whole_bytes).select(
+        F.col("_metadata.file_path").alias("_uri"),
+        F.col("_metadata.file_size").alias("_length"),
+        F.col("_metadata.file_block_start").alias("_start"),
+        F.monotonically_increasing_id().alias("_n"),
+        F.col("value").cast("binary").alias("_line"),
+    )
+    ordered = lines.repartition("_uri").sortWithinPartitions("_uri", "_start", "_n")
+    digests = ordered.select("_uri", "_length", "_line").mapInArrow(
+        _line_digests, "_uri string, sha256 string"
+    )
+    hashed = whole.unionByName(large.join(digests, "_uri", "left").drop("_uri"))
+    return hashed.select(
         F.element_at(F.split("path", "/"), -1).alias("file_name"),
         F.col("path"),
         F.col("length").alias("bytes"),
-        F.sha2("content", 256).alias("sha256"),
+        F.col("sha256"),
         F.lit(source).alias("source"),
         F.lit(batch_id).alias("batch_id"),
         F.when(F.col("length") > 0, "landed").otherwise("empty").alias("status"),
     )
 
 
+def _line_digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(uri, SHA-256) of files whose lines come in order, one file after another."""
+    uri, length, read, digests = None, 0, 0, {}
+
+    def finished() -> pa.RecordBatch:
+        # bytes that the line reader leaves out: a mark at the start, the last line end
+        for left_out, digest in digests.items():
+            if length - read - left_out in (0, 1):
+                digest.update(b"\n" * (length - read - left_out))
+                return pa.RecordBatch.from_pydict({"_uri": [uri], "sha256": [digest.hexdigest()]})
+        raise ValueError(f"{uri}: {read} bytes in lines, {length} in the file")
+
+    for batch in batches:
+        runs = pc.run_end_encode(batch.column(0))
+        begin = 0
+        for end, name in zip(runs.run_ends.to_pylist(), runs.values.to_pylist()):
+            piece = b"\n".join(batch.column(2).slice(begin, end - begin).to_pylist())
+            if name == uri:
+                piece = b"\n" + piece
+            else:
+                if uri is not None:
+                    yield finished()
+                uri, length, read = name, batch.column(1)[begin].as_py(), 0
+                digests = {len(m): hashlib.sha256(m) for m in (b"", BYTE_ORDER_MARK)}
+            for digest in digests.values():
+                digest.update(piece)
+            read += len(piece)
+            begin = end
+    if uri is not None:
+        yield finished()
+
+
 def artifact_files(files: DataFrame, artifact: str = "artifact") -> DataFrame:
     """File count and bytes per artifact from a file listing."""
     return files.groupBy(artifact).agg(

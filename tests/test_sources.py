@@ -1,3 +1,4 @@
+import gzip
 import hashlib
 import json
 import os
@@ -150,6 +151,40 @@ def test_manifest_and_tolerant_json(spark, folder):
     assert {r.n: r.d for r in documents.collect()} == {"good.json": '{"a":{"b":1}}', "bad.json": "{}"}
 
 
+def test_manifest_of_files_too_large_for_one_value(spark, folder):
+    """Files above the bound are hashed from their lines, over several splits."""
+    noise = bytes(i * i % 251 for i in range(60_000))
+    contents = {
+        "plain": noise, "ended": noise + b"\n", "crlf": b"a\r\nb\rc\n\n" * 9000, "ends": b"\n" * 50_000,
+        "marked": b"\xef\xbb\xbf" + noise, "marked_ended": b"\xef\xbb\xbf" + noise + b"\n\n",
+        "one_line": b"\xff" * 50_000, "small": b"\n\xff",
+    }
+    for name, content in contents.items():
+        with open(f"{folder}/{name} é%.bin", "wb") as file:
+            file.write(content)
+    kept = {"spark.sql.files.maxPartitionBytes": "7k", "spark.sql.files.openCostInBytes": "1k",
+            "spark.sql.execution.arrow.maxRecordsPerBatch": "70"}
+    kept = {k: (spark.conf.get(k), spark.conf.set(k, v))[0] for k, v in kept.items()}
+    try:
+        manifest = files.bronze_manifest(spark, folder, "src", "b1", "*.bin", whole_bytes=20_000)
+        rows = manifest.collect()
+        whole = files.bronze_manifest(spark, folder, "src", "b1", "*.bin").collect()
+    finally:
+        for key, value in kept.items():
+            spark.conf.set(key, value)
+    want = {n: (len(c), hashlib.sha256(c).hexdigest()) for n, c in contents.items()}
+    assert len(rows) == len(want) and sorted(rows) == sorted(whole)
+    assert {r.file_name.split(" ")[0]: (r.bytes, r.sha256) for r in rows} == want
+
+
+def test_manifest_refuses_lines_that_do_not_make_up_the_file(spark, folder):
+    with gzip.open(f"{folder}/big.txt.gz", "wb") as file:
+        file.write(os.urandom(30_000))
+    assert files.bronze_manifest(spark, folder, "src", "b1").count() == 1
+    with pytest.raises(Exception, match="bytes in lines"):
+        files.bronze_manifest(spark, folder, "src", "b1", whole_bytes=20_000).collect()
+
+
 def test_series_availability(spark):
     expected = spark.createDataFrame(
         [("AT", "price", False), ("AT", "offshore", True)], "bzn string, metric string, optional boolean"
